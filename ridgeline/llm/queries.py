@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.functions.names import entity
-from ridgeline.llm import distinct, leakage, topn
+from ridgeline.llm import distinct, leakage, mixing, subjects, topn
 from ridgeline.sources.tables import table
 
 #: p1_found: a stored figure is wrong beyond this relative deviation.
@@ -94,6 +94,26 @@ def p6_leaked_parts(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder)
 
 
+def p7_document_uses(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_target"))[0]
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_target"))[1]
+
+
+def _subjects(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.document_subjects(table(spark, folder, "documents"), table(spark, folder, "subject_label"), table(spark, folder, "subject_area"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _subjects(spark, folder).select("doc_id", "subject").distinct()
+
+
+def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
+    return _subjects(spark, folder).groupBy("subject").agg(F.count_distinct("doc_id").alias("documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_window_estimates": p1_window_estimates,
@@ -103,6 +123,10 @@ QUERIES = {
     "p5_ranked_hosts": p5_ranked_hosts,
     "p6_found": p6_found,
     "p6_leaked_parts": p6_leaked_parts,
+    "p7_document_uses": p7_document_uses,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_composition": p8_composition,
 }
 
 
