@@ -23,6 +23,8 @@ PRECISION = 12
 #: Fixed value: memory-variance product of such registers under maximum likelihood, in bits.
 VARIANCE_PRODUCT = 4.631
 DAY = 86_400
+#: Days touched by all windows, added up, to which cells are broadcast (about 100 small rows a day); beyond, joins shuffle.
+BROADCAST_DAYS = 50_000
 
 
 def error_bound(precision: int = PRECISION) -> float:
@@ -154,9 +156,11 @@ def window_registers(events: DataFrame, windows: DataFrame, precision: int = PRE
     Events without a time lie in no window.
     """
     ranged = windows.filter(F.col("ts_start") <= F.col("ts_end"))
+    days_of = F.sum(F.expr(f"ts_end div {DAY} - ts_start div {DAY} + 1"))
+    small_side = F.broadcast if (ranged.agg(days_of).first()[0] or 0) <= BROADCAST_DAYS else (lambda df: df)
     cells = time_cells(ranged)
     spread = cells.withColumn("bucket", F.explode(F.sequence(F.expr(f"cell_start div {bucket}"), F.expr(f"(cell_end - 1) div {bucket}"))))
-    placed = events.filter(F.col("ts").isNotNull()).withColumn("bucket", F.expr(f"ts div {bucket}")).join(spread, "bucket").filter((F.col("ts") >= F.col("cell_start")) & (F.col("ts") < F.col("cell_end")))
+    placed = events.filter(F.col("ts").isNotNull()).withColumn("bucket", F.expr(f"ts div {bucket}")).join(small_side(spread), "bucket").filter((F.col("ts") >= F.col("cell_start")) & (F.col("ts") < F.col("cell_end")))
     hashes = {name: F.col(name) for name in ("e", "v_src", "v_dst")}
     small = merge(register_rows(placed, ["cell_start", "category"], hashes, precision), ["cell_start", "category"])
     whole = merge(small.withColumn("day", F.expr(f"cell_start div {DAY}")), ["day", "category"])
@@ -168,4 +172,4 @@ def window_registers(events: DataFrame, windows: DataFrame, precision: int = PRE
     of_days = by_day.filter(full).select("window", "category", "day")
     of_cells = by_day.filter(~full).join(cells, "day").filter((F.col("cell_start") >= F.col("ts_start")) & (F.col("cell_end") <= F.col("ts_end") + 1)).select("window", "category", "cell_start")
     kept = ["window", "measure", "register", "ranks"]
-    return merge(whole.join(of_days, ["day", "category"]).select(*kept).unionByName(small.join(of_cells, ["cell_start", "category"]).select(*kept)), ["window"])
+    return merge(whole.join(small_side(of_days), ["day", "category"]).select(*kept).unionByName(small.join(small_side(of_cells), ["cell_start", "category"]).select(*kept)), ["window"])
