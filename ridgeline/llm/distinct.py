@@ -16,7 +16,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PRECISION = 12
@@ -157,19 +157,27 @@ def window_registers(events: DataFrame, windows: DataFrame, precision: int = PRE
     """
     ranged = windows.filter(F.col("ts_start") <= F.col("ts_end"))
     days_of = F.sum(F.expr(f"ts_end div {DAY} - ts_start div {DAY} + 1"))
-    small_side = F.broadcast if (ranged.agg(days_of).first()[0] or 0) <= BROADCAST_DAYS else (lambda df: df)
+    few = (ranged.agg(days_of).first()[0] or 0) <= BROADCAST_DAYS
+    small_side = F.broadcast if few else (lambda df: df)
+    if few:  # small numbers compress better than hashes in the rows that are moved
+        numbers = ranged.select(F.col("window").alias("__window")).withColumn("window", F.row_number().over(Window.orderBy("__window")))
+        ranged = ranged.withColumnRenamed("window", "__window").join(F.broadcast(numbers), "__window")
     cells = time_cells(ranged)
     spread = cells.withColumn("bucket", F.explode(F.sequence(F.expr(f"cell_start div {bucket}"), F.expr(f"(cell_end - 1) div {bucket}"))))
-    placed = events.filter(F.col("ts").isNotNull()).withColumn("bucket", F.expr(f"ts div {bucket}")).join(small_side(spread), "bucket").filter((F.col("ts") >= F.col("cell_start")) & (F.col("ts") < F.col("cell_end")))
+    placed = events.filter(F.col("ts").isNotNull() & F.col("category").isNotNull()).withColumn("bucket", F.expr(f"ts div {bucket}")).join(small_side(spread), "bucket").filter((F.col("ts") >= F.col("cell_start")) & (F.col("ts") < F.col("cell_end")))
     hashes = {name: F.col(name) for name in ("e", "v_src", "v_dst")}
-    small = merge(register_rows(placed, ["cell_start", "category"], hashes, precision), ["cell_start", "category"])
-    whole = merge(small.withColumn("day", F.expr(f"cell_start div {DAY}")), ["day", "category"])
+    # both uses of the cells read one exchange: the keys are stated not null, which the joins would add to one of them
+    keys = ["day", "cell_start", "category"]
+    known = placed.filter(F.col("day").isNotNull() & F.col("cell_start").isNotNull())
+    small = merge(register_rows(known, keys, hashes, precision), keys)
+    whole = merge(small, ["day", "category"])
     by_day = ranged.select(
         "window", "ts_start", "ts_end",
         F.explode(F.array_distinct("categories")).alias("category"),
     ).withColumn("day", F.explode(F.sequence(F.expr(f"ts_start div {DAY}"), F.expr(f"ts_end div {DAY}"))))
     full = (F.col("ts_start") <= F.col("day") * DAY) & (F.col("ts_end") >= (F.col("day") + 1) * DAY - 1)
     of_days = by_day.filter(full).select("window", "category", "day")
-    of_cells = by_day.filter(~full).join(cells, "day").filter((F.col("cell_start") >= F.col("ts_start")) & (F.col("cell_end") <= F.col("ts_end") + 1)).select("window", "category", "cell_start")
+    of_cells = by_day.filter(~full).join(cells, "day").filter((F.col("cell_start") >= F.col("ts_start")) & (F.col("cell_end") <= F.col("ts_end") + 1)).select("window", "category", "day", "cell_start")
     kept = ["window", "measure", "register", "ranks"]
-    return merge(whole.join(small_side(of_days), ["day", "category"]).select(*kept).unionByName(small.join(small_side(of_cells), ["cell_start", "category"]).select(*kept)), ["window"])
+    merged = merge(whole.join(small_side(of_days), ["day", "category"]).select(*kept).unionByName(small.join(small_side(of_cells), keys).select(*kept)), ["window"])
+    return merged.join(F.broadcast(numbers), "window").drop("window").withColumnRenamed("__window", "window").select(*kept) if few else merged
