@@ -309,14 +309,16 @@ def document_subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, most
     """
     known = areas.select(F.lower(F.trim("subject")).alias("subject"), F.coalesce("description", F.lit("")).alias("description")).dropna().orderBy("subject").collect()
     subjects = [r["subject"] for r in known]
+    empty = docs.sparkSession.createDataFrame([], "doc_id bigint, subject string, segments int")
+    if not subjects:
+        return empty
     codes = F.create_map(*[x for k, s in enumerate(subjects) for x in (F.lit(s), F.lit(k))])
     usable = labels.select(F.col("doc_id").alias("id"), codes[F.regexp_replace(F.lower("subject"), r"^\s+|\s+$", "")].alias("s")).dropna()
     own = usable.groupBy("id").agg(F.sort_array(F.collect_set("s")).alias("labels"))
     tongue = F.regexp_replace(F.lower(F.coalesce("lang", F.lit(""))), r"^\s+|\s+$", "")
     texts = docs.select(F.col("doc_id").alias("id"), F.when(tongue == "spa", "es").otherwise(tongue.substr(1, 2)).alias("lang"), "title", "text").filter(F.col("id").isNotNull())
-    empty = docs.sparkSession.createDataFrame([], "doc_id bigint, subject string, segments int")
     terms, counts = _vocabulary(texts)
-    if not terms or not subjects:
+    if not terms:
         return empty
     table = _termed(texts.join(own, "id", "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<int>"))), terms)
     model = subject_model(table, terms, counts, table.count(), subjects, [r["description"] for r in known])
