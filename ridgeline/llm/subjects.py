@@ -35,6 +35,11 @@ VOCABULARY, LEAST_DOCUMENTS, RANK = 1 << 16, 3, 80
 ROUNDS, REFINEMENTS = 3, 2
 #: A segment counts if its cosine and its most informative term reach these; a term is void below the third.
 COSINE, INFORMATION, AGREEMENT = 0.25, 0.2, 0.35
+#: A document's own similarity to a subject counts this much when its segments choose theirs; subjects after a
+#: document's first need this many segments, for a single one is often a mention in passing.
+CONTEXT, LEAST_SEGMENTS = 0.3, 2
+#: Terms that tell less than this share of the subjects' entropy have weight 0.
+LEAST_INFORMATION = 0.1
 #: Assignments below this cosine don't enter centroids and term statistics.
 CONFIDENT = 0.3
 _BLOCK = 1024
@@ -208,8 +213,10 @@ def _evidence(batch: pa.RecordBatch, m: _Model, subjects: int) -> tuple[np.ndarr
     strength = np.zeros(n)
     np.maximum.at(strength, segment, m.information[ids])
     sim = _by_subject(v @ m.centroids.T / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9), m, subjects)
-    cosine = sim.max(1) if n else np.zeros(0)
-    subject = np.where((cosine > COSINE) & (strength > INFORMATION), sim.argmax(1) if n else 0, -1)
+    whole = _by_subject(_embedded(batch, m) @ m.centroids.T, m, subjects).clip(0)
+    nearest = (sim + CONTEXT * whole[doc_of_segment]).argmax(1) if n else np.zeros(0, np.int64)
+    cosine = sim[np.arange(n), nearest]
+    subject = np.where((cosine > COSINE) & (strength > INFORMATION), nearest, -1)
     return ids, segment, subject, cosine, doc_of_segment
 
 
@@ -256,11 +263,12 @@ def _summed(table: DataFrame, model: _Model, step, shape: tuple[int, int], colum
 
 
 def _informative(mass: np.ndarray) -> np.ndarray:
-    """Share of the entropy of the subjects that a term removes: balanced subjects, shrunk to the uniform distribution."""
+    """Share of the subjects' entropy that a term removes, 0 below LEAST_INFORMATION: balanced subjects, shrunk to the uniform distribution."""
     size = mass.sum(0)
     balanced = mass / np.maximum(size, 1e-9) * size.sum() / len(size)
     posterior = (balanced + 1 / len(size)) / (balanced.sum(1, keepdims=True) + 1)
-    return (1 + (posterior * np.log(posterior)).sum(1) / np.log(len(size))).clip(0, 1).astype(np.float32)
+    told = (1 + (posterior * np.log(posterior)).sum(1) / np.log(len(size))).clip(0, 1)
+    return np.where(told < LEAST_INFORMATION, 0, told).astype(np.float32)
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -281,7 +289,6 @@ def subject_model(table: DataFrame, terms: dict[str, int], counts: np.ndarray, d
         for s, own in enumerate(hints):
             mass[own, s] += 0 if turn else 1
         m.information = _informative(mass)
-        # too common a term tells nothing: the idf of a term in all documents is 0
         for _ in range(2 if turn else 3):
             m.basis = np.linalg.qr(_summed(table, m, _basis_step, (v, rank), ["terms", "tf"]))[0].astype(np.float32)
         seeds = _summed(table, m, _seed_sums, (max(len(slots), 1), rank), ["lang", "labels", "terms", "tf"], slots)[: len(slots)]
@@ -294,7 +301,7 @@ def subject_model(table: DataFrame, terms: dict[str, int], counts: np.ndarray, d
         for _ in range(REFINEMENTS):
             sums = _summed(table, m, _refined_sums, m.centroids.shape, ["terms", "tf"])
             m.centroids = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 1, _units(sums), m.centroids).astype(np.float32)
-    n, agreed = _summed(table, m, _agreement_sums, (v, 2), ["ids", "ends"], k).T
+    n, agreed = _summed(table, m, _agreement_sums, (v, 2), ["terms", "tf", "ids", "ends"], k).T
     m.void = (agreed + 5 * 2 * AGREEMENT) / (n + 5) < AGREEMENT
     return m
 
@@ -338,8 +345,9 @@ def document_subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, most
             order = np.lexsort((-weight, -votes), axis=1)[:, :most] if b.num_rows else np.zeros((0, most), int)
             row = np.repeat(np.arange(b.num_rows), order.shape[1])
             pick = order.ravel()
-            keep = votes[row, pick] > 0
+            place = np.tile(np.arange(order.shape[1]), b.num_rows)
+            keep = votes[row, pick] >= np.where(place > 0, LEAST_SEGMENTS, 1)
             row, pick = row[keep], pick[keep]
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), pa.array(names[pick], pa.string()), pa.array(votes[row, pick].astype(np.int32))], names=["doc_id", "subject", "segments"])
 
-    return table.select("id", "ids", "ends").mapInArrow(assign, "doc_id bigint, subject string, segments int")
+    return table.select("id", "terms", "tf", "ids", "ends").mapInArrow(assign, "doc_id bigint, subject string, segments int")
