@@ -161,29 +161,36 @@ def whole_uses(docs: DataFrame, key: Column) -> DataFrame:
     return inside.unionByName(edge).drop("__h", "__base", "need", "from")
 
 
-def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = TOKENIZER, total: float | None = None) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = TOKENIZER, total: float | None = None, soft: bool = False) -> tuple[DataFrame, DataFrame]:
     """How often each document is used, and the shares reached.
 
     ``docs``: doc_id, source, text.  ``targets``: source, target_share, max_repeats (small, one row a source).
-    Documents whose source is none of the targets are left out; their membership is certain, so each source is one
-    group.  Null and empty texts have no tokens and are used 0 times.  First frame: doc_id, source, n_tokens, uses;
-    second: source, target_share, available_tokens, used_tokens, share, most_uses.
+    Documents whose source is none of the targets are left out, so membership is certain and each source is one group.
+    With ``soft`` they stay, as members of the domains with the classifier's probabilities (to sixteenths), at most as
+    often as these allow on average; domain totals are then expectations.  Null and empty texts have no tokens and are
+    used 0 times; repeated doc_ids are documents of their own.  First frame: doc_id, source, n_tokens, uses; second:
+    source, target_share, available_tokens, used_tokens, share, most_uses.
     """
     goals = targets.select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats").dropna().orderBy("source").dropDuplicates(["source"]).orderBy("source").collect()
     names = [r["source"] for r in goals]
     shares = np.array([r["target_share"] for r in goals], float)
     caps = np.array([r["max_repeats"] for r in goals], float)
-    own = docs.select("doc_id", source_key(F.col("source")).alias("source"), "text").filter(F.col("source").isin(names))
-    sized = cut_lineage(own.select("doc_id", "source", token_count(F.col("text"), vocabulary).alias("tokens")))
-    posterior = F.array(*[(F.col("source") == n).cast("double") for n in names])
-    groups = sized.groupBy("source").agg(F.sum("tokens").alias("tokens")).select(F.col("source").alias("group"), posterior.alias("posterior"), "tokens")
-    rates, _ = fit_rates(groups, shares, caps, total)
-    rated = sized.withColumnRenamed("source", "group").join(F.broadcast(rates.select("group", "rate")), "group")
+    keyed = docs.select("doc_id", source_key(F.col("source")).alias("source"), "text")
+    if soft:
+        parts = F.transform("posterior", lambda x: F.round(x * 16) / 16)
+        member = domain_posteriors(keyed, "text", "source", names).withColumn("posterior", parts).withColumn("group", F.array_join(F.col("posterior").cast("array<string>"), " "))
+    else:
+        certain = F.array(*[(F.col("source") == n).cast("double") for n in names]).cast("array<double>")
+        member = keyed.filter(F.col("source").isin(names)).withColumns({"posterior": certain, "group": F.col("source")})
+    sized = cut_lineage(member.select("doc_id", "source", "group", "posterior", token_count(F.col("text"), vocabulary).alias("tokens")))
+    rates, _ = fit_rates(sized.groupBy("group").agg(F.first("posterior").alias("posterior"), F.sum("tokens").alias("tokens")), shares, caps, total)
+    few = rates.select("group", "rate")
+    rated = sized.join(few if soft else F.broadcast(few), "group")
     full = whole_uses(rated.filter(F.col("tokens") > 0), F.col("doc_id")).unionByName(rated.filter(F.col("tokens") == 0).withColumn("uses", F.lit(0)))
-    uses = cut_lineage(full.select("doc_id", F.col("group").alias("source"), F.col("tokens").alias("n_tokens"), "uses"))
-    reached = uses.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"), F.sum(F.col("n_tokens") * F.col("uses")).alias("used_tokens"), F.max("uses").alias("most_uses"))
-    everything = uses.agg(F.sum(F.col("n_tokens") * F.col("uses"))).first()[0] or 0
-    wanted = docs.sparkSession.createDataFrame([(n, float(s)) for n, s in zip(names, shares, strict=True)], "source string, target_share double")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    report = wanted.join(reached, "source", "left").select("source", "target_share", zero("available_tokens"), zero("used_tokens"), (F.coalesce("used_tokens", F.lit(0)) / F.lit(max(everything, 1))).alias("share"), zero("most_uses"))
-    return uses, report
+    uses = cut_lineage(full.select("doc_id", "source", F.col("tokens").alias("n_tokens"), "uses", "posterior"))
+    one = lambda k: F.col("posterior")[k]
+    sums = [x for k in range(len(names)) for x in (F.sum(one(k) * F.col("n_tokens")), F.sum(one(k) * F.col("n_tokens") * F.col("uses")), F.max(F.when(one(k) > 0, F.col("uses"))))]
+    got = [x or 0 for x in uses.agg(F.sum(F.col("n_tokens") * F.col("uses")), *sums).first()]
+    rows = [(n, float(s), round(a), round(u), u / max(got[0], 1), int(m)) for n, s, a, u, m in zip(names, shares, got[1::3], got[2::3], got[3::3], strict=True)]
+    report = docs.sparkSession.createDataFrame(rows, "source string, target_share double, available_tokens bigint, used_tokens bigint, share double, most_uses int")
+    return uses.drop("posterior"), report

@@ -102,6 +102,11 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_target"))[1]
 
 
+def p7_soft_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares when documents of other or unknown sources join by the classifier's probabilities."""
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_target"), soft=True)[1]
+
+
 def _subjects(spark: SparkSession, folder: str) -> DataFrame:
     return subjects.document_subjects(table(spark, folder, "documents"), table(spark, folder, "subject_label"), table(spark, folder, "subject_area"))
 
@@ -125,6 +130,7 @@ QUERIES = {
     "p6_leaked_parts": p6_leaked_parts,
     "p7_document_uses": p7_document_uses,
     "p7_shares": p7_shares,
+    "p7_soft_shares": p7_soft_shares,
     "p8_found": p8_found,
     "p8_composition": p8_composition,
 }

@@ -82,6 +82,15 @@ def test_counts_equal_the_tokenizer(spark):
         mixing.token_count(F.col("text"), "/nowhere/x.json")
 
 
+def test_soft_mixing_keeps_every_document(spark):
+    rows = [(k, ("one", "two", None, "else")[k % 4], "a b c d " * (k % 5 + 1) if k % 4 in (0, 2) else "x y z w " * (k % 3 + 1)) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    targets = spark.createDataFrame([("one", 0.6, 2), ("two", 0.4, 3)], "source string, target_share double, max_repeats int")
+    uses, report = mixing.mix(docs, targets, soft=True)
+    assert uses.count() == 400 and uses.agg(F.max("uses")).first()[0] <= 3
+    assert {r.source: round(r.share, 2) for r in report.collect()} == {"one": 0.6, "two": 0.4}
+
+
 def test_no_documents(spark):
     uses, report = mixing.mix(spark.createDataFrame([], "doc_id bigint, source string, text string"), spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int"))
     assert uses.count() == 0 and [tuple(r) for r in report.collect()] == [("a", 1.0, 0, 0, 0.0, 0)]
