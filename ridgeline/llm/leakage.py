@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.words import words_of
+from ridgeline.llm.words import word_shares_of, words_of
 from ridgeline.session import cut_lineage
 
 #: Words of a shingle, of an excerpt, and of an excerpt after at most one edit in EDIT words.
@@ -35,12 +35,12 @@ def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def excerpt_words(doc: np.ndarray, item: np.ndarray, gap: float = 0.9) -> int:
+def excerpt_words(doc: np.ndarray, item: np.ndarray, share: np.ndarray | None = None, gap: float = 0.9) -> int:
     """Most words of ``item`` that ``doc`` holds in order and close together: at most one edit in EDIT words.
 
     Matching word pairs are chained; between two links max(skipped item words, skipped document words) edits lie.
     The best chain (a link gains 1, an edit costs ``gap``) is then searched for the longest stretch that is dense
-    enough.
+    enough.  ``share`` says how much of a written word each item word is (parts of hyphenated words are less than 1).
     """
     i, j = np.nonzero(item[:, None] == doc[None, :])
     n = len(i)
@@ -68,7 +68,8 @@ def excerpt_words(doc: np.ndarray, item: np.ndarray, gap: float = 0.9) -> int:
         edits = np.concatenate(([0], np.cumsum(np.maximum(np.diff(i[chain]), np.diff(j[chain])) - 1)))
         a, b = np.triu_indices(len(chain))
         found, wrong = b - a + 1, edits[b] - edits[a]
-        most = max(most, int(found[wrong * (EDIT - 1) <= found].max()))
+        counted = np.concatenate(([0], np.cumsum(np.ones(len(chain)) if share is None else share[i[chain]])))
+        most = max(most, int((counted[b + 1] - counted[a])[wrong * (EDIT - 1) <= found].max() + 1e-6))
     return most
 
 
@@ -89,7 +90,7 @@ def leaks(
     prefix = min(inside, inside - shared + agree)
 
     one = items.select(F.col(item_id).alias("item"), F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col(p).alias("text")) for p in parts])).alias("p"))
-    texts = one.select("item", "p.part", words_of("p.text").alias("words")).filter(F.col("item").isNotNull() & (F.size("words") >= least)).dropDuplicates()
+    texts = one.select("item", "p.part", words_of("p.text").alias("words"), word_shares_of("p.text").alias("shares")).filter(F.col("item").isNotNull() & (F.size("words") >= least)).dropDuplicates()
     texts = cut_lineage(texts.withColumn("key", F.xxhash64("item", "part", F.array_join("words", " "))))
     tokens = texts.select("key", F.size("words").alias("length"), F.posexplode(_shingles(F.col("words"))).alias("at", "shingle"))
     bound = tokens.count() <= BROADCAST_SHINGLES
@@ -115,12 +116,12 @@ def leaks(
     begin = F.greatest(F.col("block") * F.col("length") - window, F.lit(0))
     cut = F.slice(_hashes(F.col("words")), (begin + 1).cast("int"), (F.col("length") * 3 + 2 * window).cast("int"))
     pairs = chosen.join(again, "doc").select("doc", "key", cut.alias("held"))
-    pairs = pairs.join(small(texts.select("key", "item", "part", _hashes(F.col("words")).alias("wanted"))), "key").select("doc", "item", "part", "held", "wanted")
+    pairs = pairs.join(small(texts.select("key", "item", "part", _hashes(F.col("words")).alias("wanted"), "shares")), "key").select("doc", "item", "part", "held", "wanted", "shares")
     id_type, item_type = docs.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["words"] = [excerpt_words(np.asarray(h), np.asarray(w)) for h, w in zip(b["held"], b["wanted"], strict=True)]
+            b["words"] = [excerpt_words(np.asarray(h), np.asarray(w), np.asarray(s)) for h, w, s in zip(b["held"], b["wanted"], b["shares"], strict=True)]
             yield b.loc[b["words"] >= least, ["doc", "item", "part", "words"]]
 
     found = pairs.mapInPandas(verify, f"doc {id_type}, item {item_type}, part string, words int")

@@ -25,6 +25,7 @@ LOOK_ALIKES = {
 _TABLE = str.maketrans(LOOK_ALIKES)
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|<!--.{0,2000}?-->", re.S)
 _WORD = re.compile(r"[^\W_]+")
+_COMPOUND = re.compile(r"[^\W_]+(?:[-\u2010\u2011][^\W_]+)*")
 _APOSTROPHE = re.compile(r"(?<=\w)['’ʼ`´](?=\w)")
 
 
@@ -46,6 +47,20 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(fold(text)) if text else []
 
 
+def word_shares(text: str | None) -> list[float]:
+    """For each of ``words(text)`` its share of the written word: 1, or 1/n in a word of n parts joined by hyphens."""
+    if not text:
+        return []
+    return [1 / n for c in _COMPOUND.findall(fold(text)) for n in [len(_WORD.findall(c))] for _ in range(n)]
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def word_shares_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Column form of ``word_shares``."""
+    for column in texts:
+        yield pd.Series([word_shares(t) for t in column], index=column.index, dtype=object)
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def words_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Column form of ``words``."""

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from ridgeline.llm.leakage import EDIT, WINDOW, excerpt_words, leaks
-from ridgeline.llm.words import words
+from ridgeline.llm.words import word_shares, words
 
 VOCABULARY = [f"{a}{b}{c}" for a in ("kor", "mel", "tus", "vin", "dra") for b in ("a", "o", "e") for c in ("bex", "lun", "rit", "sog", "pim", "dax")]
 
@@ -20,6 +20,14 @@ def test_words_compare_without_looks():
     assert words("a < b and c > d &amp; e") == ["a", "b", "and", "c", "d", "e"]
 
 
+def test_hyphenated_words_count_once():
+    text = "the cool-down no <b>pupils</b> restored-the-warm-up in Tamora’s - house"
+    assert len(word_shares(text)) == len(words(text)) and round(sum(word_shares(text)), 9) == 8
+    assert word_shares(None) == []
+    item = np.arange(12)
+    assert excerpt_words(item, item) == 12 and excerpt_words(item, item, np.array([1.0] * 8 + [0.5] * 4)) == 10
+
+
 def test_aligned_words():
     h = lambda ws: np.array([hash(w) for w in ws])
     r = random.Random(1)
