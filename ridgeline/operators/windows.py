@@ -93,12 +93,12 @@ def adaptive_windows(
     A window closes at the first event where its events, distinct pairs, sources and destinations all reach their
     thresholds, and all counts start anew.  A tail of less than ``tail_ratio`` of the event threshold joins the last
     window (its pairs are added, though some may repeat, if ``tail_pairs``), else it is a window of its own.
-    Boundaries depend on everything before them, so one task scans the stream; the sort before it is distributed, the
-    scan reads four numbers an event from the sorted parts and keeps one window's hashes.  No events, no windows.
+    Boundaries depend on everything before them, so one task scans the stream: it sorts four numbers an event (on disk
+    where they exceed memory) and keeps one window's hashes.  No events, no windows.
     """
     s, d = F.col("source_entity"), F.col("destination_entity")
     rows = events.select(*[F.col(c).alias(f"__o{k}") for k, c in enumerate(order)], F.col("ts").cast("bigint").alias("ts"), F.xxhash64(s).alias("v_src"), F.xxhash64(d).alias("v_dst"), F.xxhash64(s, d).alias("e"))
-    ranged = cut_lineage(rows.orderBy(*[f"__o{k}" for k in range(len(order))]).select("ts", "e", "v_src", "v_dst"))
+    ordered = rows.repartition(1).sortWithinPartitions(*[f"__o{k}" for k in range(len(order))]).select("ts", "e", "v_src", "v_dst")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = ((np.asarray(b.column("ts")), {c: np.asarray(b.column(c)) for c in ("e", "v_src", "v_dst")}) for b in batches)
@@ -107,7 +107,7 @@ def adaptive_windows(
         kinds = [pa.int64()] * 8 + [pa.bool_()]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
-    return ranged.coalesce(1).mapInArrow(run, WINDOW_SCHEMA)
+    return ordered.mapInArrow(run, WINDOW_SCHEMA)
 
 
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
