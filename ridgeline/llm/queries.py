@@ -79,7 +79,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_ranked_hosts(spark: SparkSession, folder: str) -> DataFrame:
-    return _scored(spark, folder).select(F.col("group").alias("window_idx"), F.col("item").alias("host"), "score", "rank")
+    return _scored(spark, folder).select(F.col("group").alias("window_idx"), F.col("item").alias("host"), "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
