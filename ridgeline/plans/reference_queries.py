@@ -36,6 +36,11 @@ def _r(name: str) -> Column:
     return F.round(F.col(name), 6).alias(name)
 
 
+def _long(*names: str) -> dict[str, Column]:
+    """Whole numbers as SQL has them."""
+    return {n: F.col(n).cast("bigint") for n in names}
+
+
 # ---- inputs ------------------------------------------------------------------------------------------------------
 
 _STREAM = f"""st AS (SELECT * FROM (
@@ -285,7 +290,7 @@ def cleaning_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 @_register(f"WITH {_STREAM}, {_VOCABULARY} SELECT * FROM vo")
 def port_vocab(spark: SparkSession, folder: str) -> DataFrame:
-    return _vocabulary(spark, folder)
+    return _vocabulary(spark, folder).withColumns(_long("port_idx"))
 
 
 # ---- windows -----------------------------------------------------------------------------------------------------
@@ -374,7 +379,7 @@ def micro_slices(spark: SparkSession, folder: str) -> DataFrame:
 @_register(f"""WITH {_SLICED}, b AS (SELECT idx AS window_idx, j AS slice, ts_start + trunc(j * ((ts_end - ts_start) / 4.0))::BIGINT AS slice_start, ts_start + trunc((j + 1) * ((ts_end - ts_start) / 4.0))::BIGINT AS slice_end FROM wi, range(4) t(j) WHERE ts_end > ts_start)
 SELECT b.window_idx, b.slice, round(sum(cnt) / greatest(any_value(slice_end - slice_start), 1), 6) AS events_per_second FROM sl JOIN b USING (window_idx, slice) GROUP BY ALL""")
 def slice_rates(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.rate_report(graph.slice_counts(_slice_edges(spark, folder)), graph.slice_bounds(_info(spark, folder))).withColumn("events_per_second", _r("events_per_second"))
+    return graph.rate_report(graph.slice_counts(_slice_edges(spark, folder)), graph.slice_bounds(_info(spark, folder))).withColumns({"events_per_second": _r("events_per_second")} | _long("slice"))
 
 
 @_register(f"WITH {_PEAK} SELECT * FROM sd")
@@ -405,7 +410,7 @@ def peak_acp(spark: SparkSession, folder: str) -> DataFrame:
 
 @_register(f"WITH {_EDGES} SELECT * FROM dg")
 def window_degrees(spark: SparkSession, folder: str) -> DataFrame:
-    return _nodes(spark, folder)
+    return _nodes(spark, folder).withColumns(_long("node_id"))
 
 
 @_register(f"WITH {_PLACED}, {_AUTH} SELECT window_idx, src AS source_entity, dst AS destination_entity, 1.0::DOUBLE AS is_auth, * EXCLUDE (window_idx, src, dst) FROM au")
@@ -430,7 +435,7 @@ _X = ("ln(1 + in_deg)", "ln(1 + out_deg)", "0.0", "ln(1 + out_deg / (in_deg + 1.
 @_register(f"""WITH {_EDGES}, x AS (SELECT window_idx, node, node_id, out_deg, in_deg, {', '.join(f'({e})::DOUBLE AS x{k}' for k, e in enumerate(_X))} FROM dg WINDOW w AS (PARTITION BY window_idx))
 SELECT window_idx, node, node_id, out_deg, in_deg, {', '.join(f'round((x{k} - avg(x{k}) OVER w) / CASE WHEN stddev_pop(x{k}) OVER w > 1e-12 THEN stddev_pop(x{k}) OVER w ELSE 1 END, 6) + 0.0 AS x{k}' for k in range(8))} FROM x WINDOW w AS (PARTITION BY window_idx)""")
 def node_features_z(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.node_features(_nodes(spark, folder)).withColumns({f"x{k}": (_r(f"x{k}") + F.lit(0.0)) for k in range(8)})
+    return graph.node_features(_nodes(spark, folder)).withColumns({f"x{k}": (_r(f"x{k}") + F.lit(0.0)) for k in range(8)} | _long("node_id"))
 
 
 @_register(f"""WITH {_EDGES}, t AS (SELECT window_idx, node, ln(1 + in_deg) AS a, ln(1 + out_deg) AS b FROM dg)
@@ -514,7 +519,7 @@ def fused_score(spark: SparkSession, folder: str) -> DataFrame:
 
 @_register(f"""WITH {_EDGES} SELECT window_idx, node, row_number() OVER (PARTITION BY window_idx ORDER BY out_deg DESC, node) AS rank, rank() OVER (PARTITION BY window_idx ORDER BY out_deg DESC) AS competition_rank FROM dg""")
 def node_ranks(spark: SparkSession, folder: str) -> DataFrame:
-    return _nodes(spark, folder).select("window_idx", "node", rank.node_rank("out_deg").alias("rank"), rank.competition_rank("out_deg").alias("competition_rank"))
+    return _nodes(spark, folder).select("window_idx", "node", rank.node_rank("out_deg").alias("rank"), rank.competition_rank("out_deg").alias("competition_rank")).withColumns(_long("rank", "competition_rank"))
 
 
 @_register(f"WITH {_SCORED} SELECT window_idx, node, label FROM sc")
@@ -546,7 +551,7 @@ def ap_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 @_register(f"WITH {_STABLE} SELECT window_idx, node, round(score, 6) AS score, rn FROM tp WHERE rn <= 200")
 def top_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    return _stable(spark, folder).select("window_idx", "node", _r("score"), "rn")
+    return _stable(spark, folder).select("window_idx", "node", _r("score"), "rn").withColumns(_long("rn"))
 
 
 @_register(f"WITH {_STABLE} SELECT node, count(*) AS windows FROM tp WHERE rn = 1 GROUP BY node ORDER BY windows DESC, node LIMIT 10")
@@ -569,7 +574,7 @@ def top50_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 SELECT node, count(*) AS windows, trunc(median(rank))::INT AS median_rank, min(rank) AS best_rank FROM r JOIN h USING (node) GROUP BY node""")
 def leader_ranks(spark: SparkSession, folder: str) -> DataFrame:
     top = _stable(spark, folder)
-    return evaluate.host_ranks(top, top.filter(F.col("rn") == 1))
+    return evaluate.host_ranks(top, top.filter(F.col("rn") == 1)).withColumns(_long("best_rank"))
 
 
 @_register("SELECT idx, ts_start, ts_end FROM window_info WHERE kind = 'adaptive' AND idx NOT IN (SELECT window_idx FROM run_nonattack WHERE window_idx IS NOT NULL)")
