@@ -1,9 +1,9 @@
 """Test items that occur, whole or in part, in a corpus.
 
-A prefix-filtered set join on word shingles.  An excerpt of ``window`` item words of which one in six is changed
-still shares ``shared`` of the window's shingles, so ``agree`` of them are among the window's rarest
-(shingles - shared + agree) ones: only those, the window's prefix, are joined.  Shingles are ordered by the number of
-corpus documents that hold them, which is counted over the whole corpus.  Shared prefix shingles must lie in one
+A prefix-filtered set join on word shingles.  An edit breaks at most SHINGLE shingles, so of the shingles of an item
+window with n edits ``agree`` shared ones are among the SHINGLE * n + agree rarest: only those, the window's prefix,
+are joined.  Windows of several lengths are needed (see ``spans``).  Shingles are ordered by the number of corpus
+documents that hold them, which is counted over the whole corpus.  Shared prefix shingles must lie in one
 window of the document that is as long as the item; there the words are aligned, and what counts is the exact
 number of item words found in order.
 """
@@ -35,6 +35,17 @@ def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def spans(window: int = WINDOW, edit: int = EDIT, agree: int = 2) -> list[tuple[int, int]]:
+    """(words, prefix) of the item windows of which every excerpt fills one: it shares all but prefix - agree shingles.
+
+    n edits need (EDIT - 1) n words found, so with the default figures: up to 2 edits leave a window of 15 words with 2
+    of them, 3 edits one of 18 words with 3, 4 edits one of 24 words with 4, and an excerpt with more edits always has
+    a window of 15 or 18 words in which as few shingles are broken.  18 words with 3 edits may have all 3 in every 15.
+    """
+    few = window // edit
+    return [(max(window, n * edit), SHINGLE * n + agree) for n in (few, few + 1, few + 2)]
+
+
 def excerpt_words(doc: np.ndarray, item: np.ndarray, share: np.ndarray | None = None, gap: float = 0.9) -> int:
     """Most words of ``item`` that ``doc`` holds in order and close together: at most one edit in EDIT words.
 
@@ -85,9 +96,6 @@ def leaks(
     id are left out.
     """
     least = window - window // edit
-    inside = window - SHINGLE + 1
-    shared = inside - SHINGLE * (window // edit)
-    prefix = min(inside, inside - shared + agree)
 
     one = items.select(F.col(item_id).alias("item"), F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col(p).alias("text")) for p in parts])).alias("p"))
     texts = one.select("item", "p.part", words_of("p.text").alias("words"), word_shares_of("p.text").alias("shares")).filter(F.col("item").isNotNull() & (F.size("words") >= least)).dropDuplicates()
@@ -102,10 +110,11 @@ def leaks(
     rarity = hits.select("doc", "shingle").distinct().groupBy("shingle").agg(F.count(F.lit(1)).alias("docs"))
 
     ranked = tokens.join(rarity, "shingle", "left").withColumn("docs", F.coalesce("docs", F.lit(0)))
-    last = F.greatest(F.col("length") - window, F.lit(0))
-    starts = ranked.withColumn("start", F.explode(F.sequence(F.greatest(F.col("at") - (inside - 1), F.lit(0)), F.least(F.col("at"), last))))
-    order = Window.partitionBy("key", "start").orderBy("docs", "shingle", "at")
-    needed = starts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= prefix).select("key", "length", "at", "shingle").distinct()
+    ranked = ranked.withColumn("span", F.explode(F.array(*[F.struct(F.lit(n).alias("words"), F.lit(p).alias("prefix")) for n, p in spans(window, edit, agree)])))
+    last = F.greatest(F.col("length") - F.col("span.words"), F.lit(0))
+    starts = ranked.withColumn("start", F.explode(F.sequence(F.greatest(F.col("at") - (F.col("span.words") - SHINGLE), F.lit(0)), F.least(F.col("at"), last))))
+    order = Window.partitionBy("key", "span", "start").orderBy("docs", "shingle", "at")
+    needed = starts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("span.prefix")).select("key", "length", "at", "shingle").distinct()
 
     met = hits.join(small(needed), "shingle").withColumn("block", F.expr("place div length"))
     boxes = met.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") - 1)))

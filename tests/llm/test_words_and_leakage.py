@@ -105,3 +105,38 @@ def test_repeated_items_and_documents(spark, corpus):
     docs = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id bigint, text string")
     items = spark.createDataFrame([(7, text), (7, text), (8, text)], "eval_id bigint, passage string")
     assert sorted((r.doc_id, r.eval_id) for r in leaks(docs, "doc_id", "text", items, "eval_id", ["passage"]).collect()) == [(1, 7), (1, 8), (2, 7), (2, 8)]
+
+
+def test_edits_that_crowd_every_short_window_are_found(spark):
+    own = {k: [f"w{k}x{j}" for j in range(n)] for k, n in enumerate((18, 18, 24, 24, 40))}
+    edits = {0: (5, 8, 11), 1: (4, 7, 10), 2: (6, 9, 12, 15), 3: (7, 10, 13, 16), 4: (16, 19, 22)}
+    docs = []
+    for k, item in own.items():
+        lo, hi = (11, 29) if k == 4 else (0, len(item))
+        docs.append((k, " ".join(["before"] * 7 + ["other" if j in edits[k] else item[j] for j in range(lo, hi)] + ["after"] * 7)))
+        # the shared words are common, so all broken shingles are rarer
+        docs += [(100 * (k + 1) + n, " ".join(item[a : a + 5])) for n in range(3) for a in range(0, len(item) - 4, 3)]
+    items = spark.createDataFrame([(k, " ".join(w)) for k, w in own.items()], "eval_id bigint, question string")
+    got = {(x.doc_id, x.eval_id) for x in leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text", items, "eval_id", ["question"]).collect()}
+    assert got == {(k, k) for k in own}
+
+
+def test_every_excerpt_fills_a_span():
+    from itertools import combinations
+
+    from ridgeline.llm.leakage import SHINGLE, spans
+
+    def filled(length, broken):
+        return any(
+            sum(a + k not in broken for k in range(n - SHINGLE + 1)) >= n - SHINGLE + 1 - (p - 2)
+            for n, p in spans() if n <= length for a in range(length - n + 1)
+        )
+
+    for length, n in ((15, 2), (18, 3), (21, 3), (24, 4), (25, 4)):
+        for at in combinations(range(length), n):
+            assert filled(length, {x - k for x in at for k in range(SHINGLE)})
+    r = random.Random(3)
+    for _ in range(3000):
+        n = r.randint(5, 14)
+        length = n * EDIT + r.randrange(EDIT)
+        assert filled(length, {x - k for x in r.sample(range(length), n) for k in range(SHINGLE)})
