@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridgeline.operators import evaluate, graph, model, rank
-from ridgeline.plans import pipeline
+from ridgeline.plans import pipeline, reference_queries
 from ridgeline.sources.toy import PIVOT, TOY_THRESHOLDS, toy_events
 
 PLACED = "window_idx bigint, ts bigint, source_entity string, destination_entity string, event_detail string"
@@ -115,6 +115,23 @@ def test_failed_fits_give_an_error_row(spark):
     assert row.window_idx == 0 and row.seed == 42 and row.error and row.node is None
 
 
+@pytest.mark.parametrize("name", ["trained_scores", "benchmark_summary"])
+def test_registered_fits_have_the_budget_of_the_reference(monkeypatch, name):
+    class Trained(Exception):
+        pass
+
+    def train(nodes, edges, features, seeds=(42,), objectives=((0.5, 0.3),), fit=None):
+        raise Trained(seeds, (fit or model.Fit()).epochs, objectives)
+
+    for inputs in ("_nodes", "_features"):
+        monkeypatch.setattr(reference_queries, inputs, lambda spark, folder: None)
+    monkeypatch.setattr(graph, "node_features", lambda nodes: nodes)
+    monkeypatch.setattr(model, "train_scores", train)
+    with pytest.raises(Trained) as got:
+        reference_queries.QUERIES[name](None, "")
+    assert got.value.args == ((42, 123, 456), 100, ((0.5, 0.3),))
+
+
 def test_evaluation(spark):
     df = spark.createDataFrame([(0, "a", 0.9, 0, 1), (0, "b", 0.8, 1, 1), (0, "c", 0.8, 1, 0), (1, "a", 0.5, 0, 1), (2, "a", 0.5, None, 1)], "window_idx bigint, node string, score double, label int, out_deg int")
     ap = {r.window_idx: (round(r.ap, 9), r.n_pos) for r in evaluate.average_precision(df).collect()}
