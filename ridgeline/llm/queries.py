@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.functions.names import entity
@@ -94,6 +94,19 @@ def p6_leaked_parts(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder)
 
 
+def _blank_words(text: str) -> Column:
+    """ASCII letters and digits of a text, other characters being one blank; blanks at both ends."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), F.lit(" "))
+
+
+def p6_verbatim(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts of at least 18 words that a found document holds word by word."""
+    items = table(spark, folder, "eval_item").select("eval_id", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), _blank_words(p).alias("whole")) for p in ("passage", "question")])).alias("p"))
+    wanted = items.select("eval_id", "p.part", "p.whole").filter(F.size(F.split("whole", " ")) >= 20)
+    held = table(spark, folder, "documents").select("doc_id", _blank_words("text").alias("held"))
+    return _leaks(spark, folder).join(wanted, ["eval_id", "part"]).join(held, "doc_id").filter(F.col("held").contains(F.col("whole"))).select("doc_id", "eval_id", "part").distinct()
+
+
 def p7_document_uses(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_target"))[0]
 
@@ -128,6 +141,7 @@ QUERIES = {
     "p5_ranked_hosts": p5_ranked_hosts,
     "p6_found": p6_found,
     "p6_leaked_parts": p6_leaked_parts,
+    "p6_verbatim": p6_verbatim,
     "p7_document_uses": p7_document_uses,
     "p7_shares": p7_shares,
     "p7_soft_shares": p7_soft_shares,
@@ -154,4 +168,8 @@ UNION ALL SELECT kind, idx, 'v_src' FROM truth WHERE abs(v_src - ts_) > 0.1 * ts
 UNION ALL SELECT kind, idx, 'v_dst' FROM truth WHERE abs(v_dst - td) > 0.1 * td""",
     "p5_found": f"WITH {_TOP} SELECT window_idx, host FROM ranked",
     "p5_ranked_hosts": f"WITH {_TOP} SELECT window_idx, host, score, rank FROM ranked",
+    "p6_verbatim": """WITH wanted AS (SELECT eval_id, part, ' ' || trim(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g')) || ' ' AS whole
+    FROM (SELECT eval_id, 'passage' AS part, passage AS t FROM eval_item UNION ALL SELECT eval_id, 'question', question FROM eval_item)),
+held AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS held FROM documents)
+SELECT DISTINCT doc_id, eval_id, part FROM held JOIN (SELECT * FROM wanted WHERE len(string_split(whole, ' ')) >= 20) ON contains(held, whole)""",
 }

@@ -1,15 +1,21 @@
-"""Words of a text as they compare: without case, accents, markup, punctuation and look-alike letters."""
+"""Words of texts as they compare: without case, accents, markup, punctuation and look-alike letters.
+
+Texts are folded and split many at a time: a block of texts is one string, in which a mark stands after each text, so
+that every step is one pass of a compiled pattern over some million characters.  Only runs of other than ASCII
+characters are looked up one by one, and are kept.
+"""
 
 from __future__ import annotations
 
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+import numpy as np
+import pyarrow as pa
 
 # Letters of other scripts, or with strokes, and the Latin letters that they look like.
 LOOK_ALIKES = {
@@ -23,46 +29,91 @@ LOOK_ALIKES = {
     "ß": "ss", "æ": "ae", "Æ": "ae", "œ": "oe", "Œ": "oe",
 }
 _TABLE = str.maketrans(LOOK_ALIKES)
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>|<!--.{0,2000}?-->", re.S)
-_WORD = re.compile(r"[^\W_]+")
-_COMPOUND = re.compile(r"[^\W_]+(?:[-\u2010\u2011][^\W_]+)*")
-_APOSTROPHE = re.compile(r"(?<=\w)['’ʼ`´](?=\w)")
+#: Marks that stand after a text and after a segment; in texts these characters are blanks.
+_END, _CUT = "\x00", "\x01"
+_BLANKS = str.maketrans({_END: " ", _CUT: " "})
+_TAG = re.compile(r"</?[a-zA-Z][^<>\x00\x01]{0,200}>|<!--[^\x00\x01]{0,2000}?-->")
+_OTHER = re.compile(r"[^\x00-\x7f]+")
+_HYPHENS, _APOSTROPHES = "\u2010\u2011", "’ʼ"
+#: Characters that are folded at once; a longer text is a block of its own.
+BLOCK = 1 << 22
+#: Kind of each byte of a folded block: 1 in a word, 2 apostrophe, 3 hyphen, 0 else.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(48, 58), *range(97, 123), *range(128, 256)]] = 1
+_KIND[[39, 96]] = 2
+_KIND[45] = 3
+
+
+@lru_cache(maxsize=1 << 16)
+def _plain(run: str) -> str:
+    run = unicodedata.normalize("NFKD", run)
+    kept = "".join(c for c in run if unicodedata.category(c) not in ("Mn", "Cf", "Me")).translate(_TABLE)
+    return "".join(c if c.isascii() else "-" if c in _HYPHENS else "'" if c in _APOSTROPHES else c if c.isalnum() else " " for c in kept)
 
 
-def fold(text: str) -> str:
-    """Lower-case text of plain letters; markup becomes blanks, invisible characters and accents vanish."""
+def _fold(text: str) -> str:
+    """Lower-case text of letters; markup becomes blanks, invisible characters and accents vanish."""
     if "<" in text:
         text = _TAG.sub(" ", text)
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in text if unicodedata.category(c) not in ("Mn", "Cf", "Me"))
-        text = text.translate(_TABLE)
-    return _APOSTROPHE.sub("", text.lower())
+        text = _OTHER.sub(lambda m: _plain(m.group()), text)
+    return text.lower()
 
 
-def words(text: str | None) -> list[str]:
-    """Words of ``fold(text)``; a null text has none."""
-    return _WORD.findall(fold(text)) if text else []
+@dataclass(frozen=True)
+class Words:
+    """Words of a block of texts: ``terms[codes[k]]`` is word k; text t has those up to ``ends[t]``.
 
+    ``shares`` says how much of a written word each is: 1, or 1/n in a word of n parts joined by hyphens.  ``cuts``
+    holds the words up to the end of each segment, a text's end being the end of its last one.
+    """
+
+    terms: list[str]
+    codes: np.ndarray
+    shares: np.ndarray
+    ends: np.ndarray
+    cuts: np.ndarray
 
-def word_shares(text: str | None) -> list[float]:
-    """For each of ``words(text)`` its share of the written word: 1, or 1/n in a word of n parts joined by hyphens."""
-    if not text:
-        return []
-    return [1 / n for c in _COMPOUND.findall(fold(text)) for n in [len(_WORD.findall(c))] for _ in range(n)]
 
+def _split(texts: list[str | None], cut: re.Pattern | None) -> Words:
+    joined = "\n\x00\n".join(["" if t is None else t.translate(_BLANKS) if _END in t or _CUT in t else t for t in texts]) + "\n\x00\n"
+    buf = np.frombuffer(_fold(cut.sub(f"\n{_CUT}\n", joined) if cut else joined).encode("utf-8", "replace"), np.uint8)
+    kind = _KIND[buf]
+    at = np.flatnonzero(kind == 2)  # the block ends in a mark and a blank, so every other byte has one after it
+    at = at[(kind[np.maximum(at - 1, 0)] == 1) & (kind[at + 1] == 1) & (at > 0)]
+    if len(at):
+        buf, kind = np.delete(buf, at), np.delete(kind, at)
+    word = kind == 1
+    edge = np.flatnonzero(np.diff(word, prepend=False))
+    start, end = edge[::2], edge[1::2]
+    bounds = np.concatenate(([0], np.cumsum(end - start))).astype(np.int32)
+    found = pa.StringArray.from_buffers(len(start), pa.py_buffer(bounds), pa.py_buffer(buf[word])).dictionary_encode()
+    tied = (kind[end] == 3) & word[end + 1] if len(end) else np.zeros(0, bool)
+    first = np.flatnonzero(np.concatenate(([True], ~tied[:-1]))) if len(start) else np.zeros(0, np.int64)
+    parts = np.diff(np.append(first, len(start)))
+    ends, cuts = np.flatnonzero(buf == 0), np.flatnonzero(buf <= 1)
+    return Words(found.dictionary.to_pylist(), np.asarray(found.indices), np.repeat(1 / np.maximum(parts, 1), parts), np.searchsorted(start, ends), np.searchsorted(start, cuts))
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def word_shares_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Column form of ``word_shares``."""
-    for column in texts:
-        yield pd.Series([word_shares(t) for t in column], index=column.index, dtype=object)
 
+def split_words(texts: Sequence[str | None], cut: re.Pattern | None = None) -> Iterator[tuple[int, Words]]:
+    """(first text, words) of blocks of texts; ``cut`` matches what ends a segment.  A null text has no words."""
+    start, size = 0, 0
+    for k, t in enumerate(texts):
+        if size and size + len(t or "") > BLOCK:
+            yield start, _split(list(texts[start:k]), cut)
+            start, size = k, 0
+        size += len(t or "") + 3
+    if start < len(texts):
+        yield start, _split(list(texts[start:]), cut)
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def words_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Column form of ``words``."""
-    for column in texts:
-        yield pd.Series([words(t) for t in column], index=column.index, dtype=object)
+
+def words(text: str | None) -> list[str]:
+    """Words of one text."""
+    return [w.terms[k] for _, w in split_words([text]) for k in w.codes]
+
+
+def word_shares(text: str | None) -> list[float]:
+    """For each of ``words(text)`` its share of the written word."""
+    return [float(x) for _, w in split_words([text]) for x in w.shares]

@@ -1,11 +1,19 @@
+import html
+import math
 import random
+import re
+import unicodedata
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from ridgeline.llm.leakage import EDIT, WINDOW, excerpt_words, leaks
-from ridgeline.llm.words import word_shares, words
+from ridgeline.llm import words as words_module
+from ridgeline.llm.leakage import EDIT, MOST_EDITS, WINDOW, _match, _until, excerpts, leaks
+from ridgeline.llm.words import LOOK_ALIKES, split_words, word_shares, words
 
+LEAST = WINDOW - WINDOW // EDIT
 VOCABULARY = [f"{a}{b}{c}" for a in ("kor", "mel", "tus", "vin", "dra") for b in ("a", "o", "e") for c in ("bex", "lun", "rit", "sog", "pim", "dax")]
 
 
@@ -13,34 +21,142 @@ def passage(r, n=40):
     return [r.choice(VOCABULARY) for _ in range(n)]
 
 
+def plain_words(text):
+    """One text by itself, character by character."""
+    text = html.unescape(re.sub(r"</?[a-zA-Z][^<>]{0,200}>|<!--.{0,2000}?-->", " ", text, flags=re.S))
+    text = "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) not in ("Mn", "Cf", "Me"))
+    text = re.sub(r"(?<=\w)['’ʼ`](?=\w)", "", text.translate(str.maketrans(LOOK_ALIKES)).lower())
+    found, shares = re.findall(r"[^\W_]+(?:[-‐‑][^\W_]+)*", text), []
+    for w in found:
+        n = len(re.findall(r"[^\W_]+", w))
+        shares += [1 / n] * n
+    return re.findall(r"[^\W_]+", text), shares
+
+
+def longest_excerpt(doc, item, shares=None, edits=MOST_EDITS):
+    """Brute force: for every equal pair of words and number of edits the best chain, over all pairs before it."""
+    at = _until(np.ones(len(item)) if shares is None else shares)
+    pairs = [(i, j) for i in range(len(item)) for j in range(len(doc)) if item[i] == doc[j]]
+    best, most = {}, 0.0
+    for i, j in pairs:
+        for e in range(edits + 1):
+            value = at[i + 1] - at[i]
+            for i2, j2 in pairs:
+                if i2 < i and j2 < j:
+                    cost = math.ceil(max(at[i] - at[i2 + 1], j - j2 - 1) - 1e-6)
+                    if cost <= e:
+                        value = max(value, best[i2, j2, e - cost] + at[i + 1] - at[i])
+            best[i, j, e] = value
+            if e * (EDIT - 1) <= value + 1e-4:
+                most = max(most, value)
+    return most
+
+
+def excerpt_words(doc, item, shares=None, edits=MOST_EDITS):
+    code = {w: k for k, w in enumerate([*item, *doc])}
+    a, b = (np.array([code[w] for w in x], np.int64) for x in (item, doc))
+    return float(excerpts([_match(a, _until(np.ones(len(a)) if shares is None else shares), b, _until(np.ones(len(b))), edits, 0)], edits)[0])
+
+
 def test_words_compare_without_looks():
     plain = ["after", "the", "reports", "warm", "up", "dont", "cafe", "full", "no"]
-    assert words("AFTER  thе <b>rероrts</b>,\n> wa­rm-up don’t café ＦＵＬＬ ΝΟ") == plain
+    assert words("AFTER  thе <b>rероrts</b>,\n> wa\u00adrm-up don’t café ＦＵＬＬ ΝΟ") == plain
     assert words(None) == words("") == words("<br/> ... !") == []
     assert words("a < b and c > d &amp; e") == ["a", "b", "and", "c", "d", "e"]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from("aB1é-‐'’ .,;&<>/_\n\u0301ßΝе中…\u00ad½Ⅷ"), max_size=30), st.text(max_size=20).filter(lambda t: not set("\x00\x01´ʼ") & set(t))), max_size=6))
+def test_blocks_split_as_single_texts(texts):
+    got, shares = [], []
+    for _, w in split_words(texts):
+        for lo, hi in zip([0, *w.ends[:-1]], w.ends, strict=True):
+            got.append([w.terms[k] for k in w.codes[lo:hi]])
+            shares.append(w.shares[lo:hi].tolist())
+    assert list(zip(got, shares, strict=True)) == [tuple(plain_words(t or "")) for t in texts]
+
+
+def test_long_texts_are_blocks_of_their_own(monkeypatch):
+    monkeypatch.setattr(words_module, "BLOCK", 20)
+    texts = ["a b", "c " * 30, None, "d", "e f \x00 g\x01h"]
+    blocks = list(split_words(texts, re.compile("f")))
+    assert len(blocks) > 2 and [(first, [w.terms[k] for k in w.codes]) for first, w in blocks][1] == (1, ["c"] * 30)
+    assert [w.terms[k] for _, w in blocks for k in w.codes] == ["a", "b", *["c"] * 30, "d", "e", "g", "h"]
+    assert list(split_words([])) == []
+
+
 def test_hyphenated_words_count_once():
     text = "the cool-down no <b>pupils</b> restored-the-warm-up in Tamora’s - house"
     assert len(word_shares(text)) == len(words(text)) and round(sum(word_shares(text)), 9) == 8
     assert word_shares(None) == []
-    item = np.arange(12)
-    assert excerpt_words(item, item) == 12 and excerpt_words(item, item, np.array([1.0] * 8 + [0.5] * 4)) == 10
+    item = list(range(12))
+    assert excerpt_words(item, item) == 12 and abs(excerpt_words(item, item, [1.0] * 8 + [0.5] * 4) - 10) < 1e-3
+    # a hyphenated word changed is one edit
+    hyphenated = [1.0] * 6 + [0.5, 0.5] + [1.0] * 7
+    changed = [f"w{k}" for k in range(15)]
+    doc = changed[:6] + ["x"] + changed[8:]
+    assert excerpt_words(doc, changed, hyphenated) == 13
 
 
 def test_aligned_words():
-    h = lambda ws: np.array([hash(w) for w in ws])
     r = random.Random(1)
     item = passage(r)
-    assert excerpt_words(h(item[10:25]), h(item)) == 15
+    assert excerpt_words(item[10:25], item) >= 15
     changed = item[5:25]
     changed[7] = "x"
     del changed[12]
     changed.insert(3, "y")
-    assert excerpt_words(h(["q", *changed, "q"]), h(item)) >= 17
-    assert excerpt_words(h(["q"] * 30), h(item)) == 0 and excerpt_words(h([]), h(item)) == 0
+    assert excerpt_words(["q", *changed, "q"], item) >= 17
+    assert excerpt_words(["q"] * 30, item) == 0 and excerpt_words([], item) == 0
     apart = [w for x in item[:16] for w in (x, "a", "b", "c")]
-    assert excerpt_words(h(apart), h(item)) < 6
+    assert excerpt_words(apart, item) < 6
+
+
+def test_alignment_equals_brute_force():
+    r = random.Random(11)
+    for n in range(60):
+        few = VOCABULARY[: r.choice([3, 8, 30])]
+        item = [r.choice(few) for _ in range(r.randint(1, 26))]
+        doc = [w for w in item if r.random() > 0.15] if n % 2 else [r.choice(few) for _ in range(r.randint(0, 25))]
+        for _ in range(r.randint(0, 4)):
+            doc.insert(r.randint(0, len(doc)), r.choice([*few, "other"]))
+        shares = [r.choice([1.0, 1.0, 0.5]) for _ in item]
+        for edits in (2, 5):
+            assert abs(excerpt_words(doc, item, shares, edits) - longest_excerpt(doc, item, shares, edits)) < 1e-3
+
+
+def test_arrays_of_all_sizes_are_aligned_together():
+    r = random.Random(2)
+    item = passage(r, 30)
+    code = {w: k for k, w in enumerate(VOCABULARY)}
+    own = np.array([code[w] for w in item])
+    parts = [np.array([code[w] for w in (item[:n] + passage(r, n))], np.int64) for n in range(0, 30, 3)]
+    at = _until(np.ones(30))
+    matches = [_match(own, at, p, _until(np.ones(len(p))), 6, 0) for p in parts]
+    assert excerpts(matches, 6).tolist() == [float(excerpts([m], 6)[0]) for m in matches]
+
+
+@pytest.mark.parametrize("first", [True, False])
+def test_a_weak_long_chain_hides_no_excerpt(spark, first):
+    item = [f"w{k}" for k in range(60)]
+    exact, weak = item[44:60], [w if k % 4 else f"x{k}" for k, w in enumerate(item[:40], 1)]
+    doc = exact + ["between"] * 20 + weak if first else weak + ["between"] * 20 + exact
+    assert excerpt_words(doc, item) == 16
+    docs = spark.createDataFrame([(1, " ".join(doc))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(5, " ".join(item))], "eval_id bigint, passage string")
+    assert [tuple(x) for x in leaks(docs, "doc_id", "text", items, "eval_id", ["passage"]).collect()] == [(1, 5, "passage", 16)]
+
+
+def test_long_items_and_several_blocks_of_items(spark):
+    r = random.Random(8)
+    long = [f"l{k}" for k in range(1000)]
+    items = [(1, " ".join(long)), (2, " ".join(passage(r))), (3, " ".join(long[500:530]))]
+    docs = [(k, " ".join(["x"] * 9 + long[at : at + 20] + ["x"] * 9)) for k, at in enumerate(range(0, 981, 60))] + [(900, items[1][1] + " " + " ".join(long))]
+    frames = spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text", spark.createDataFrame(items, "eval_id bigint, question string"), "eval_id", ["question"]
+    one = {tuple(x) for x in leaks(*frames).collect()}
+    assert {(d, e) for d, e, _, _ in one} == {(d, 1) for d, _ in docs} | {(900, 2), (900, 3)}
+    assert all(n == 20 for d, e, _, n in one if d < 900)
+    assert {tuple(x) for x in leaks(*frames, block_words=300).collect()} == one
 
 
 @pytest.fixture(scope="module")
@@ -84,11 +200,10 @@ def test_found_equals_the_planted_and_the_exhaustive(spark, corpus):
     out = leaks(spark.createDataFrame(docs + extra, "doc_id bigint, text string"), "doc_id", "text", rows, "eval_id", ["passage", "question"]).collect()
     got = {(r.doc_id, r.eval_id) for r in out}
     exhaustive = set()
-    texts = {d: np.array([hash(w) for w in words(t)]) for d, t in docs}
+    texts = {d: words(t) for d, t in docs}
     for k, parts in items.items():
         for p in parts:
-            own = np.array([hash(w) for w in p])
-            exhaustive |= {(d, k) for d, t in texts.items() if len(np.intersect1d(t, own)) > 8 and excerpt_words(t, own) >= WINDOW - WINDOW // EDIT}
+            exhaustive |= {(d, k) for d, t in texts.items() if len(set(t) & set(p)) > 8 and excerpt_words(t, p, edits=8) >= LEAST}
     assert truth <= got and got == exhaustive | {(1002, 2)}
     assert (1002, 2) in got
 
