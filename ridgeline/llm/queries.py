@@ -132,6 +132,14 @@ def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
     return _subjects(spark, folder).groupBy("subject").agg(F.count_distinct("doc_id").alias("documents"))
 
 
+def p8_label_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    """How many labels set by hand there are for the documents, and whether three quarters of them are found."""
+    said = table(spark, folder, "subject_label").select("doc_id", F.lower(F.trim("subject")).alias("subject")).dropna().distinct()
+    known = said.join(table(spark, folder, "subject_area").select("subject"), "subject", "left_semi").join(table(spark, folder, "documents").select("doc_id"), "doc_id", "left_semi")
+    found = _subjects(spark, folder).select("doc_id", "subject", F.lit(1).alias("found")).distinct()
+    return known.join(found, ["doc_id", "subject"], "left").agg(F.count(F.lit(1)).alias("labels"), (F.count("found") >= 0.75 * F.count(F.lit(1))).alias("most_found"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_window_estimates": p1_window_estimates,
@@ -147,6 +155,7 @@ QUERIES = {
     "p7_soft_shares": p7_soft_shares,
     "p8_found": p8_found,
     "p8_composition": p8_composition,
+    "p8_label_agreement": p8_label_agreement,
 }
 
 
@@ -172,4 +181,6 @@ UNION ALL SELECT kind, idx, 'v_dst' FROM truth WHERE abs(v_dst - td) > 0.1 * td"
     FROM (SELECT eval_id, 'passage' AS part, passage AS t FROM eval_item UNION ALL SELECT eval_id, 'question', question FROM eval_item)),
 held AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS held FROM documents)
 SELECT DISTINCT doc_id, eval_id, part FROM held JOIN (SELECT * FROM wanted WHERE len(string_split(whole, ' ')) >= 20) ON contains(held, whole)""",
+    "p8_label_agreement": """SELECT count(*) AS labels, true AS most_found FROM (SELECT DISTINCT doc_id, lower(trim(subject)) AS subject FROM subject_label)
+WHERE subject IN (SELECT subject FROM subject_area) AND doc_id IN (SELECT doc_id FROM documents)""",
 }

@@ -3,6 +3,7 @@
 Documents are embedded by term weighting and a truncated singular value decomposition; subjects are seed centroids in
 that space, refined by the documents nearest to them; a document's segments are assigned by cosine similarity.
 
+* Terms: the most frequent words have a row each, all others share rows by hash, so no word is left out.
 * Term weight: log frequency x inverse document frequency x information about the subject, which comes from the
   labelled table and the subjects' descriptions at first and from the assigned corpus in later rounds.
 * Decomposition: subspace iteration; each pass adds up A'(A Q) over all documents, a matrix of vocabulary x rank.
@@ -11,7 +12,8 @@ that space, refined by the documents nearest to them; a document's segments are
   their document (figures of speech, remarks on other goods) make their segments void; that rate is counted over the
   whole corpus.
 
-What reaches the driver is the model: vocabulary, basis and centroids, bounded by ``VOCABULARY`` and ``RANK``.
+What reaches the driver is the model: vocabulary, basis and centroids, bounded by ``VOCABULARY``, ``SHARED`` and
+``RANK``.  A pass runs in at most two tasks a core, so that what its tasks send stays small beside the documents.
 """
 
 from __future__ import annotations
@@ -19,20 +21,22 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ridgeline.llm.words import words
+from ridgeline.llm.words import Words, split_words, words
 from ridgeline.session import cut_lineage
 
-#: Most terms of the model (the most frequent ones), least documents of a term, rank of the decomposition.
-VOCABULARY, LEAST_DOCUMENTS, RANK = 1 << 16, 3, 80
+#: Most terms with a row of their own (the most frequent ones) and least documents of one; rows that all other terms
+#: share by hash; rank of the decomposition.
+VOCABULARY, LEAST_DOCUMENTS, SHARED, RANK = 1 << 16, 3, 1 << 8, 80
 ROUNDS, REFINEMENTS = 3, 2
+#: Passes of the subspace iteration in the first and in each later round, which starts from the basis before.
+ITERATIONS = (2, 1)
 #: A segment counts if its cosine and its most informative term reach these; a term is void below the third.
 COSINE, INFORMATION, AGREEMENT = 0.25, 0.2, 0.35
 #: A document's own similarity to a subject counts this much when its segments choose theirs; subjects after a
@@ -42,24 +46,15 @@ CONTEXT, LEAST_SEGMENTS = 0.3, 2
 LEAST_INFORMATION = 0.1
 #: Assignments below this cosine don't enter centroids and term statistics.
 CONFIDENT = 0.3
-_BLOCK = 1024
+#: Rows of a block of sums, and documents that are multiplied at once.
+_BLOCK, _DOCUMENTS = 64, 256
 _BREAK = re.compile(r'[.!?;:\n"“”]+')
-_TAG = re.compile(r"<[^<>]{0,200}>")
-
-
-def segments(title: str | None, text: str | None) -> list[list[str]]:
-    """Words of the title's and the text's sentences; nulls and blanks give none."""
-    found = []
-    for part in (title, text):
-        for piece in _BREAK.split(_TAG.sub(" ", part or "")):
-            if own := words(piece):
-                found.append(own)
-    return found
 
 
 @dataclass
 class _Model:
-    terms: dict[str, int]
+    """Numbers of the model; a term's row is its place in the vocabulary or, after that, its hash."""
+
     idf: np.ndarray
     information: np.ndarray
     basis: np.ndarray
@@ -72,47 +67,80 @@ class _Model:
         return (self.idf * self.information).astype(np.float32)
 
 
+def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int, Words]]:
+    """(first document, words) of blocks of documents; the line break after the title ends a segment."""
+    texts = [f"{a or ''}\n{b or ''}" for a, b in zip(batch.column("title").to_pylist(), batch.column("text").to_pylist(), strict=True)]
+    return split_words(texts, _BREAK)
+
+
 def _vocabulary(docs: DataFrame) -> tuple[dict[str, int], np.ndarray]:
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def distinct_words(title: pd.Series, text: pd.Series) -> pd.Series:
-        return title.combine(text, lambda a, b: list({w for s in segments(a, b) for w in s if not w.isdigit()}))
+    """Row of each frequent term, and the number of documents of every row; a number is no term."""
 
-    counted = docs.select(F.explode(distinct_words(F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, w in _documents(b):
+                doc = np.searchsorted(w.ends, np.arange(len(w.codes)), side="right")
+                pairs = np.unique(doc * len(w.terms) + w.codes)
+                n = np.bincount(pairs % max(len(w.terms), 1), minlength=len(w.terms))
+                own = np.array([k for k, t in enumerate(w.terms) if not t.isdigit()], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([w.terms[k] for k in own], pa.string()), pa.array(n[own].astype(np.int64))], names=["term", "n"])
+
+    counted = docs.select("title", "text").mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    counted = cut_lineage(counted)
     rows = counted.filter(F.col("n") >= LEAST_DOCUMENTS).orderBy(F.desc("n"), "term").limit(VOCABULARY).collect()
-    return {r["term"]: k for k, r in enumerate(rows)}, np.array([r["n"] for r in rows], float)
+    terms = {r["term"]: k for k, r in enumerate(rows)}
+    sizes = np.zeros(len(rows) + SHARED)
+    sizes[: len(rows)] = [r["n"] for r in rows]
+    rest = F.lit(True)
+    if rows:
+        n, last = rows[-1]["n"], rows[-1]["term"]
+        rest = (F.col("n") < n) | ((F.col("n") == n) & (F.col("term") > last))
+    for r in counted.filter(rest).groupBy(F.pmod(F.crc32(F.encode("term", "utf-8")), F.lit(SHARED)).alias("row")).agg(F.sum("n").alias("n")).collect():
+        sizes[len(rows) + r["row"]] = r["n"]
+    return terms, sizes
+
+
+_TERMS = "id bigint, lang string, terms array<int>, tf array<float>, ids array<int>, ends array<int>"
 
 
-_TERMS = "id bigint, lang string, labels array<int>, terms array<int>, tf array<float>, ids array<int>, ends array<int>"
+def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(values, kind))
 
 
 def _termed(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
+    """Rows of each document's distinct terms with log frequencies, its words' rows in order, and its segments' ends."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for b in batches:
-            at, tf, ids, ends = [], [], [], []
-            for title, text in zip(b.column("title").to_pylist(), b.column("text").to_pylist(), strict=True):
-                own, bounds = [], []
-                for s in segments(title, text):
-                    own += [k for w in s if (k := known.get(w)) is not None]
-                    bounds.append(len(own))
-                u, n = np.unique(np.array(own, np.int32), return_counts=True)
-                at.append(u)
-                tf.append(np.log1p(n).astype(np.float32))
-                ids.append(own)
-                ends.append(bounds)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("lang"), b.column("labels").cast(pa.list_(pa.int32())), pa.array(at, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.float32())), pa.array(ids, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))],
-                names=["id", "lang", "labels", "terms", "tf", "ids", "ends"],
-            )
+            for first, w in _documents(b):
+                row = np.array([-1 if t.isdigit() else known[t] if t in known else len(known) + crc32(t.encode()) % SHARED for t in w.terms], np.int64)
+                ids = row[w.codes] if len(w.codes) else np.zeros(0, np.int64)
+                kept = np.concatenate(([0], np.cumsum(ids >= 0)))
+                n, width = len(w.ends), len(known) + SHARED
+                ids, last, cuts = ids[ids >= 0], kept[w.ends], np.unique(kept[w.cuts])
+                doc = np.searchsorted(last, np.arange(len(ids)), side="right")
+                pairs, tf = np.unique(doc * width + ids, return_counts=True)
+                until = np.searchsorted(pairs // width, np.arange(n), side="right")
+                cuts = cuts[cuts > 0]
+                owner = np.searchsorted(last, cuts - 1, side="right")
+                begin = np.concatenate(([0], last[:-1]))
+                take = pa.array(np.arange(first, first + n))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column("id").take(take), b.column("lang").take(take),
+                        _lists(pairs % width, until, pa.int32()), _lists(np.log1p(tf), until, pa.float32()),
+                        _lists(ids, last, pa.int32()), _lists(cuts - begin[owner], np.searchsorted(owner, np.arange(n), side="right"), pa.int32()),
+                    ],
+                    names=["id", "lang", "terms", "tf", "ids", "ends"],
+                )
 
     return cut_lineage(docs.mapInArrow(run, _TERMS))
 
 
 def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Flat values of a list column, and the row of each."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(column.flatten()), np.repeat(np.arange(len(column)), np.diff(np.asarray(column.offsets)))
 
 
@@ -125,20 +153,23 @@ def _row_sums(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _weighted(batch: pa.RecordBatch, m: _Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Terms, documents and unit-length weights of a batch's document-term matrix."""
+def _weighted(batch: pa.RecordBatch, m: _Model) -> tuple[np.ndarray, np.ndarray]:
+    """A batch's document-term matrix of unit rows, over the terms in it that have weight, and their numbers."""
     terms, doc = _rows(batch.column("terms"))
     tf, _ = _rows(batch.column("tf"))
     value = tf * m.weight[terms]
     keep = value > 0
-    terms, doc, value, n = terms[keep], doc[keep], value[keep], batch.num_rows
-    norm = np.sqrt(np.bincount(doc, value.astype(float) ** 2, n))
-    return terms, doc, (value / norm[doc]).astype(np.float32), n
+    terms, doc, value = terms[keep], doc[keep], value[keep]
+    norm = np.sqrt(np.bincount(doc, value.astype(float) ** 2, batch.num_rows))
+    own, column = np.unique(terms, return_inverse=True)
+    x = np.zeros((batch.num_rows, len(own)), np.float32)
+    x[doc, column] = value / norm[doc]
+    return x, own
 
 
 def _embedded(batch: pa.RecordBatch, m: _Model) -> np.ndarray:
-    terms, doc, value, n = _weighted(batch, m)
-    e = _row_sums(value[:, None] * m.basis[terms], doc, n)
+    x, own = _weighted(batch, m)
+    e = x @ m.basis[own]
     return e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-9)
 
 
@@ -158,9 +189,8 @@ def _by_subject(sim: np.ndarray, m: _Model, subjects: int) -> np.ndarray:
 
 
 def _basis_step(batch: pa.RecordBatch, m: _Model, out: np.ndarray) -> None:
-    terms, doc, value, n = _weighted(batch, m)
-    y = _row_sums(value[:, None] * m.basis[terms], doc, n)
-    _term_sums(terms, value[:, None] * y[doc], out)
+    x, own = _weighted(batch, m)
+    out[own] += x.T @ (x @ m.basis[own])
 
 
 def _label_mass(batch: pa.RecordBatch, m: _Model, out: np.ndarray) -> None:
@@ -169,16 +199,6 @@ def _label_mass(batch: pa.RecordBatch, m: _Model, out: np.ndarray) -> None:
     p[doc, label] = 1
     p /= np.maximum(p.sum(1, keepdims=True), 1)
     terms, at = _rows(batch.column("terms"))
-    some = p.any(1)[at]
-    _term_sums(terms[some], p[at[some]], out)
-
-
-def _assigned_mass(batch: pa.RecordBatch, m: _Model, out: np.ndarray) -> None:
-    sim = _by_subject(_embedded(batch, m) @ m.centroids.T, m, out.shape[1])
-    top = sim.max(1, keepdims=True)
-    p = np.exp(8 * (sim - top))
-    p = (p / p.sum(1, keepdims=True) * (top > CONFIDENT)).astype(np.float32)
-    terms, at = _rows(batch.column("terms"))
     _term_sums(terms, p[at], out)
 
 
@@ -192,70 +212,89 @@ def _seed_sums(batch: pa.RecordBatch, m: _Model, out: np.ndarray, slots: dict[tu
             out[k] += share[d] * e[d]
 
 
-def _refined_sums(batch: pa.RecordBatch, m: _Model, out: np.ndarray) -> None:
+def _refined_sums(batch: pa.RecordBatch, m: _Model, out: np.ndarray, centroids: int, subjects: int) -> None:
+    """Sums of the centroids' documents in the first rows and, if wanted, the subjects' mass of each term in the others."""
     e = _embedded(batch, m)
     sim = e @ m.centroids.T
     best, value = sim.argmax(1), sim.max(1)
     keep = value > CONFIDENT
-    _term_sums(best[keep], e[keep] * value[keep, None], out)
+    _term_sums(best[keep], e[keep] * value[keep, None], out[:centroids])
+    if len(out) > centroids:
+        own = _by_subject(sim, m, subjects)
+        top = own.max(1, keepdims=True)
+        p = np.exp(8 * (own - top))
+        p = (p / p.sum(1, keepdims=True) * (top > CONFIDENT)).astype(np.float32)
+        terms, at = _rows(batch.column("terms"))
+        used, column = np.unique(terms, return_inverse=True)
+        x = np.zeros((batch.num_rows, len(used)), np.float32)
+        x[at, column] = 1
+        out[centroids + used, :subjects] += x.T @ p
 
 
 def _evidence(batch: pa.RecordBatch, m: _Model, subjects: int) -> tuple[np.ndarray, ...]:
-    """Term, segment and document of each word; subject of each segment, -1 without evidence; cosine; its document."""
-    ids, doc_of_word = _rows(batch.column("ids"))
+    """Term and segment of each word; subject of each segment, -1 without evidence; cosine; its document."""
+    ids, _ = _rows(batch.column("ids"))
     ends, doc_of_segment = _rows(batch.column("ends"))
     offsets = np.asarray(batch.column("ids").offsets)
     bounds = ends + (offsets[:-1] - offsets[0])[doc_of_segment]
-    segment = np.searchsorted(bounds, np.arange(len(ids)), side="right")
     n = len(bounds)
-    value = m.weight[ids] * np.float32(np.log(2))
-    v = _row_sums(value[:, None] * m.basis[ids], segment, n)
-    strength = np.zeros(n)
-    np.maximum.at(strength, segment, m.information[ids])
+    weight = m.weight
+    segment = np.searchsorted(bounds, np.arange(len(ids)), side="right")
+    told = np.flatnonzero(weight[ids] > 0)
+    own, of = ids[told], segment[told]
+    v = _row_sums(weight[own, None] * m.basis[own], of, n)
+    strength = np.zeros((n, 1), np.float32)
+    if len(own):
+        starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        strength[of[starts], 0] = np.maximum.reduceat(m.information[own], starts)
     sim = _by_subject(v @ m.centroids.T / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9), m, subjects)
     whole = _by_subject(_embedded(batch, m) @ m.centroids.T, m, subjects).clip(0)
     nearest = (sim + CONTEXT * whole[doc_of_segment]).argmax(1) if n else np.zeros(0, np.int64)
     cosine = sim[np.arange(n), nearest]
-    subject = np.where((cosine > COSINE) & (strength > INFORMATION), nearest, -1)
+    subject = np.where((cosine > COSINE) & (strength[:, 0] > INFORMATION), nearest, -1)
     return ids, segment, subject, cosine, doc_of_segment
 
 
 def _agreement_sums(batch: pa.RecordBatch, m: _Model, out: np.ndarray, subjects: int) -> None:
     ids, segment, subject, _, doc = _evidence(batch, m, subjects)
     found = subject >= 0
-    votes = np.zeros((batch.num_rows, subjects), np.int64)
-    np.add.at(votes, (doc[found], subject[found]), 1)
+    votes = np.bincount(doc[found] * subjects + subject[found], minlength=batch.num_rows * subjects).reshape(-1, subjects)
     several = found & (votes.sum(1)[doc] > 1)
     agrees = several & (votes[doc, np.maximum(subject, 0)] > 1)
-    pairs = np.unique(np.column_stack([segment, ids])[several[segment]], axis=0)
-    _term_sums(pairs[:, 1], np.column_stack([np.ones(len(pairs)), agrees[pairs[:, 0]]]).astype(np.float32), out)
+    some = several[segment]
+    pairs = np.unique(segment[some] * len(m.idf) + ids[some])
+    _term_sums(pairs % len(m.idf), np.column_stack([np.ones(len(pairs)), agrees[pairs // len(m.idf)]]), out)
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for k in range(0, batch.num_rows, _DOCUMENTS):
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.slice(k, _DOCUMENTS).columns], schema=batch.schema)
 
 
 def _summed(table: DataFrame, model: _Model, step, shape: tuple[int, int], columns: list[str], *args: object) -> np.ndarray:
     """Sum over all documents of what ``step`` adds to a matrix of ``shape``: by task, then by block of rows."""
-    shared = table.sparkSession.sparkContext.broadcast(model)
-    height = min(_BLOCK, max(1, shape[0]))
+    context = table.sparkSession.sparkContext
+    shared = context.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(shape, np.float64)
         for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                step(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.slice(k, 2000).columns], schema=batch.schema), shared.value, out, *args)
-        blocks = [k for k in range(0, shape[0], height) if out[k : k + height].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([out[k : k + height].tobytes() for k in blocks], pa.binary())], names=["block", "sums"])
-
-    def add(own: pa.Table) -> pa.Table:
-        total = None
-        for sums in own.column("sums"):
-            x = np.frombuffer(sums.as_buffer(), np.float64)
-            total = x.copy() if total is None else total + x
-        return pa.table({"block": own.column("block")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
-
-    parts = table.select(*columns).mapInArrow(run, "block int, sums binary")
-    some = parts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64)))
-    first = some.groupBy("block", "part").applyInArrow(lambda t: add(t), "block int, sums binary")
+            for part in _slices(batch):
+                step(part, shared.value, out, *args)
+        blocks = [k for k in range(0, shape[0], _BLOCK) if out[k : k + _BLOCK].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([out[k : k + _BLOCK].astype(np.float32).tobytes() for k in blocks], pa.binary())], names=["block", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, sums in zip(batch.column("block").to_pylist(), batch.column("sums"), strict=True):
+                x = np.frombuffer(sums.as_buffer(), np.float32)
+                totals[block] = totals[block] + x if block in totals else x.astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(totals, pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], names=["block", "sums"])
+
+    parts = table.select(*columns).coalesce(2 * context.defaultParallelism).mapInArrow(run, "block int, sums binary")
     out = np.zeros(shape)
-    for r in first.groupBy("block").applyInArrow(add, "block int, sums binary").collect():
+    for r in parts.repartition("block").mapInArrow(add, "block int, sums binary").collect():
         x = np.frombuffer(r["sums"], np.float64).reshape(-1, shape[1])
         out[r["block"] : r["block"] + len(x)] = x
     shared.unpersist()
@@ -275,31 +314,33 @@ def _units(x: np.ndarray) -> np.ndarray:
     return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def subject_model(table: DataFrame, terms: dict[str, int], counts: np.ndarray, documents: int, subjects: list[str], descriptions: list[str], seed: int = 0) -> _Model:
-    """The fitted model; ``table`` is what ``_termed`` returns."""
-    v, k = len(terms), len(subjects)
+def subject_model(table: DataFrame, labelled: DataFrame, terms: dict[str, int], counts: np.ndarray, documents: int, subjects: list[str], descriptions: list[str], seed: int = 0) -> _Model:
+    """The fitted model; ``table`` is what ``_termed`` returns, ``labelled`` its documents with ``labels``."""
+    v, k = len(counts), len(subjects)
     rank = min(RANK, v)
     hints = [[terms[w] for w in words(d) if w in terms] for d in descriptions]
-    m = _Model(terms, np.log(max(documents, 1) / counts).clip(0).astype(np.float32), np.ones(v, np.float32), np.random.default_rng(seed).standard_normal((v, rank)).astype(np.float32))
-    langs = [(r["lang"], r["s"]) for r in table.select("lang", F.explode("labels").alias("s")).distinct().collect()]
+    m = _Model(np.log(max(documents, 1) / np.maximum(counts, 1)).clip(0).astype(np.float32), np.ones(v, np.float32), np.random.default_rng(seed).standard_normal((v, rank)).astype(np.float32))
+    langs = [(r["lang"], r["s"]) for r in labelled.select("lang", F.explode("labels").alias("s")).distinct().collect()]
     slots = {x: i for i, x in enumerate(sorted(langs))}
+    mass = _summed(labelled, m, _label_mass, (v, k), ["labels", "terms"])
+    for s, own in enumerate(hints):
+        mass[own, s] += 1
     for turn in range(ROUNDS):
-        step, columns = (_assigned_mass, ["terms", "tf"]) if turn else (_label_mass, ["labels", "terms"])
-        mass = _summed(table, m, step, (v, k), columns)
-        for s, own in enumerate(hints):
-            mass[own, s] += 0 if turn else 1
         m.information = _informative(mass)
-        for _ in range(2 if turn else 3):
+        for _ in range(ITERATIONS[min(turn, 1)]):
             m.basis = np.linalg.qr(_summed(table, m, _basis_step, (v, rank), ["terms", "tf"]))[0].astype(np.float32)
-        seeds = _summed(table, m, _seed_sums, (max(len(slots), 1), rank), ["lang", "labels", "terms", "tf"], slots)[: len(slots)]
+        seeds = _summed(labelled, m, _seed_sums, (max(len(slots), 1), rank), ["lang", "labels", "terms", "tf"], slots)[: len(slots)]
         owners = [s for _, s in sorted(slots)]
         for s in set(range(k)) - set(owners):
             own = hints[s]
             seeds = np.vstack([seeds, (m.weight[own, None] * m.basis[own]).sum(0)])
             owners.append(s)
         m.centroids, m.owners = _units(seeds), np.array(owners)
-        for _ in range(REFINEMENTS):
-            sums = _summed(table, m, _refined_sums, m.centroids.shape, ["terms", "tf"])
+        for step in range(REFINEMENTS):
+            # the last refinement also counts the terms of the subjects' documents for the next round
+            n, counted = len(owners), step == REFINEMENTS - 1 and turn < ROUNDS - 1
+            both = _summed(table, m, _refined_sums, (n + v * counted, max(rank, k)), ["terms", "tf"], n, k)
+            sums, mass = both[:n, :rank], both[n:, :k] if counted else mass
             m.centroids = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 1, _units(sums), m.centroids).astype(np.float32)
     n, agreed = _summed(table, m, _agreement_sums, (v, 2), ["terms", "tf", "ids", "ends"], k).T
     m.void = (agreed + 5 * 2 * AGREEMENT) / (n + 5) < AGREEMENT
@@ -325,16 +366,17 @@ def document_subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, most
     tongue = F.regexp_replace(F.lower(F.coalesce("lang", F.lit(""))), r"^\s+|\s+$", "")
     texts = docs.select(F.col("doc_id").alias("id"), F.when(tongue == "spa", "es").otherwise(tongue.substr(1, 2)).alias("lang"), "title", "text").filter(F.col("id").isNotNull())
     terms, counts = _vocabulary(texts)
-    if not terms:
+    if not counts.any():
         return empty
-    table = _termed(texts.join(own, "id", "left").withColumn("labels", F.coalesce("labels", F.array().cast("array<int>"))), terms)
-    model = subject_model(table, terms, counts, table.count(), subjects, [r["description"] for r in known])
+    table = _termed(texts, terms)
+    labelled = cut_lineage(table.select("id", "lang", "terms", "tf").join(own, "id"))
+    model = subject_model(table, labelled, terms, counts, table.count(), subjects, [r["description"] for r in known])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = np.array(subjects, object)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in (part for batch in batches for part in _slices(batch)):
             ids, segment, subject, cosine, doc = _evidence(b, m, len(names))
             bad = np.zeros(len(subject), bool)
             bad[segment[m.void[ids]]] = True

@@ -79,7 +79,9 @@ class Words:
 
 def _split(texts: list[str | None], cut: re.Pattern | None) -> Words:
     joined = "\n\x00\n".join(["" if t is None else t.translate(_BLANKS) if _END in t or _CUT in t else t for t in texts]) + "\n\x00\n"
-    buf = np.frombuffer(_fold(cut.sub(f"\n{_CUT}\n", joined) if cut else joined).encode("utf-8", "replace"), np.uint8)
+    if cut:
+        joined = cut.sub(f"\n{_CUT}\n", _TAG.sub(" ", joined))
+    buf = np.frombuffer(_fold(joined).encode("utf-8", "replace"), np.uint8)
     kind = _KIND[buf]
     at = np.flatnonzero(kind == 2)  # the block ends in a mark and a blank, so every other byte has one after it
     at = at[(kind[np.maximum(at - 1, 0)] == 1) & (kind[at + 1] == 1) & (at > 0)]

@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from ridgeline.llm import subjects
-from ridgeline.llm.subjects import document_subjects, segments
+from ridgeline.llm.subjects import document_subjects
 
 TERMS = {"music": "violin tempo chord sonata quartet bass scale drum".split(), "garden": "soil compost rose hose lawn shears bulb weed".split(), "law": "court clause tort appeal statute notary lease brief".split()}
 REMARKS = ["arrived on a monday", "the colour is nice", "five of five from me", "my cousin has the same", "no manual was there"]
@@ -40,9 +42,41 @@ def test_subjects_are_found_and_mentions_are_not(reviews):
     assert {r.doc_id for r in rows} <= set(truth)
 
 
+def split(title, text):
+    batch = pa.RecordBatch.from_pydict({"title": [title], "text": [text]})
+    ((_, w),) = subjects._documents(batch)
+    cuts = np.unique([0, *w.cuts])
+    return [[w.terms[k] for k in w.codes[a:b]] for a, b in zip(cuts, cuts[1:])]
+
+
 def test_segments():
-    assert segments("A b. C", "d <br/> e! \n f") == [["a", "b"], ["c"], ["d", "e"], ["f"]]
-    assert segments(None, None) == segments("", " ... ") == []
+    assert split("A b. C", "d <br/> e! \n f") == [["a", "b"], ["c"], ["d", "e"], ["f"]]
+    assert split(None, None) == split("", " ... ") == []
+    assert split("a", '"b" c; d <a href="x.y">e</a>') == [["a"], ["b"], ["c"], ["d", "e"]]
+
+
+def test_every_word_has_a_row(spark, reviews):
+    (docs, _, _), _, _ = reviews
+    texts = docs.selectExpr("doc_id AS id", "lang", "title", "text")
+    terms, counts = subjects._vocabulary(texts)
+    rows = subjects._termed(texts, terms).collect()
+    assert len(rows) == docs.count() and len(counts) == len(terms) + subjects.SHARED
+    words = {}
+    for d in docs.collect():
+        for s in split(d.title, d.text):
+            for w in s:
+                words.setdefault(w, set()).add((d.doc_id, d.text))
+    assert all(words[w] and counts[k] == len(words[w]) for w, k in terms.items() if len(words[w]) > 3)
+    assert all(r.ids is not None and sorted(set(r.ids)) == sorted(r.terms) and all(e <= len(r.ids) for e in r.ends) for r in rows)
+    assert {max(r.ids, default=0) >= len(terms) for r in rows} <= {True, False}
+
+
+def test_blocks_of_one_text_give_the_same_rows(spark, reviews, monkeypatch):
+    (docs, _, _), _, _ = reviews
+    batch = pa.RecordBatch.from_pandas(docs.select("title", "text").toPandas())
+    whole = [[w.terms[k] for k in w.codes] for _, w in subjects._documents(batch)]
+    monkeypatch.setattr("ridgeline.llm.words.BLOCK", 1)
+    assert [x for _, w in subjects._documents(batch) for x in [w.terms[k] for k in w.codes]] == [x for ws in whole for x in ws]
 
 
 def test_nothing_to_learn_from(spark, reviews):
@@ -54,4 +88,4 @@ def test_nothing_to_learn_from(spark, reviews):
 
 
 def test_model_is_bounded():
-    assert subjects.VOCABULARY * subjects.RANK * 4 < 64e6
+    assert (subjects.VOCABULARY + subjects.SHARED) * subjects.RANK * 4 < 64e6
