@@ -137,7 +137,7 @@ class _Index:
             return (np.zeros(0, np.int64),) * 3
         keys = self.keys(codes)
         place = np.flatnonzero(keys >= 0)
-        text = np.searchsorted(w.ends, place, side="right")
+        text = np.repeat(np.arange(len(w.ends)), np.diff(w.ends, prepend=0))[place]
         whole = place + SHINGLE <= w.ends[text]
         place, text = place[whole], text[whole]
         number = np.minimum(np.searchsorted(self.shingles, keys[place]), len(self.shingles) - 1)

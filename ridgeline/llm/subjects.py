@@ -18,7 +18,6 @@ What reaches the driver is the model: vocabulary, basis and centroids, bounded b
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
@@ -48,7 +47,6 @@ LEAST_INFORMATION = 0.1
 CONFIDENT = 0.3
 #: Rows of a block of sums, and documents that are multiplied at once.
 _BLOCK, _DOCUMENTS = 64, 256
-_BREAK = re.compile(r'[.!?;:\n"“”]+')
 
 
 @dataclass
@@ -70,7 +68,19 @@ class _Model:
 def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int, Words]]:
     """(first document, words) of blocks of documents; the line break after the title ends a segment."""
     texts = [f"{a or ''}\n{b or ''}" for a, b in zip(batch.column("title").to_pylist(), batch.column("text").to_pylist(), strict=True)]
-    return split_words(texts, _BREAK)
+    return split_words(texts)
+
+
+def _owners(ends: np.ndarray) -> np.ndarray:
+    """Number of the list that holds each value, by the lists' ends."""
+    return np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and how often each is there."""
+    values = np.sort(values)
+    first = np.flatnonzero(np.diff(values, prepend=-1))
+    return values[first], np.diff(first, append=len(values))
 
 
 def _vocabulary(docs: DataFrame) -> tuple[dict[str, int], np.ndarray]:
@@ -79,8 +89,7 @@ def _vocabulary(docs: DataFrame) -> tuple[dict[str, int], np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, w in _documents(b):
-                doc = np.searchsorted(w.ends, np.arange(len(w.codes)), side="right")
-                pairs = np.unique(doc * len(w.terms) + w.codes)
+                pairs, _ = _distinct(_owners(w.ends) * len(w.terms) + w.codes)
                 n = np.bincount(pairs % max(len(w.terms), 1), minlength=len(w.terms))
                 own = np.array([k for k, t in enumerate(w.terms) if not t.isdigit()], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([w.terms[k] for k in own], pa.string()), pa.array(n[own].astype(np.int64))], names=["term", "n"])
@@ -119,11 +128,10 @@ def _termed(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
                 ids = row[w.codes] if len(w.codes) else np.zeros(0, np.int64)
                 kept = np.concatenate(([0], np.cumsum(ids >= 0)))
                 n, width = len(w.ends), len(known) + SHARED
-                ids, last, cuts = ids[ids >= 0], kept[w.ends], np.unique(kept[w.cuts])
-                doc = np.searchsorted(last, np.arange(len(ids)), side="right")
-                pairs, tf = np.unique(doc * width + ids, return_counts=True)
-                until = np.searchsorted(pairs // width, np.arange(n), side="right")
-                cuts = cuts[cuts > 0]
+                ids, last, cuts = ids[ids >= 0], kept[w.ends], kept[w.cuts]
+                pairs, tf = _distinct(_owners(last) * width + ids)
+                until = np.searchsorted(pairs, np.arange(1, n + 1) * width)
+                cuts = cuts[np.diff(cuts, prepend=0) > 0]
                 owner = np.searchsorted(last, cuts - 1, side="right")
                 begin = np.concatenate(([0], last[:-1]))
                 take = pa.array(np.arange(first, first + n))
@@ -262,7 +270,7 @@ def _agreement_sums(batch: pa.RecordBatch, m: _Model, out: np.ndarray, subjects:
     several = found & (votes.sum(1)[doc] > 1)
     agrees = several & (votes[doc, np.maximum(subject, 0)] > 1)
     some = several[segment]
-    pairs = np.unique(segment[some] * len(m.idf) + ids[some])
+    pairs, _ = _distinct(segment[some] * len(m.idf) + ids[some])
     _term_sums(pairs % len(m.idf), np.column_stack([np.ones(len(pairs)), agrees[pairs // len(m.idf)]]), out)
 
 

@@ -29,12 +29,11 @@ LOOK_ALIKES = {
     "ß": "ss", "æ": "ae", "Æ": "ae", "œ": "oe", "Œ": "oe",
 }
 _TABLE = str.maketrans(LOOK_ALIKES)
-#: Marks that stand after a text and after a segment; in texts these characters are blanks.
-_END, _CUT = "\x00", "\x01"
-_BLANKS = str.maketrans({_END: " ", _CUT: " "})
-_TAG = re.compile(r"</?[a-zA-Z][^<>\x00\x01]{0,200}>|<!--[^\x00\x01]{0,2000}?-->")
+#: Mark that stands after a text; in texts it is a blank.
+_END = "\x00"
+_TAG = re.compile(r"</?[a-zA-Z][^<>\x00]{0,200}>|<!--[^\x00]{0,2000}?-->")
 _OTHER = re.compile(r"[^\x00-\x7f]+")
-_HYPHENS, _APOSTROPHES = "\u2010\u2011", "’ʼ"
+_HYPHENS, _APOSTROPHES, _QUOTES = "\u2010\u2011", "’ʼ", "“”"
 #: Characters that are folded at once; a longer text is a block of its own.
 BLOCK = 1 << 22
 #: Kind of each byte of a folded block: 1 in a word, 2 apostrophe, 3 hyphen, 0 else.
@@ -42,13 +41,16 @@ _KIND = np.zeros(256, np.uint8)
 _KIND[[*range(48, 58), *range(97, 123), *range(128, 256)]] = 1
 _KIND[[39, 96]] = 2
 _KIND[45] = 3
+#: Bytes of a folded block that end a segment.
+_CUTS = np.zeros(256, bool)
+_CUTS[[0, *b'.!?;:\n"']] = True
 
 
 @lru_cache(maxsize=1 << 16)
 def _plain(run: str) -> str:
     run = unicodedata.normalize("NFKD", run)
     kept = "".join(c for c in run if unicodedata.category(c) not in ("Mn", "Cf", "Me")).translate(_TABLE)
-    return "".join(c if c.isascii() else "-" if c in _HYPHENS else "'" if c in _APOSTROPHES else c if c.isalnum() else " " for c in kept)
+    return "".join(c if c.isascii() else "-" if c in _HYPHENS else "'" if c in _APOSTROPHES else '"' if c in _QUOTES else c if c.isalnum() else " " for c in kept)
 
 
 def _fold(text: str) -> str:
@@ -67,7 +69,7 @@ class Words:
     """Words of a block of texts: ``terms[codes[k]]`` is word k; text t has those up to ``ends[t]``.
 
     ``shares`` says how much of a written word each is: 1, or 1/n in a word of n parts joined by hyphens.  ``cuts``
-    holds the words up to the end of each segment, a text's end being the end of its last one.
+    holds the words up to the end of each segment that has words: a sentence, a line, or what colons and quotes part.
     """
 
     terms: list[str]
@@ -77,10 +79,8 @@ class Words:
     cuts: np.ndarray
 
 
-def _split(texts: list[str | None], cut: re.Pattern | None) -> Words:
-    joined = "\n\x00\n".join(["" if t is None else t.translate(_BLANKS) if _END in t or _CUT in t else t for t in texts]) + "\n\x00\n"
-    if cut:
-        joined = cut.sub(f"\n{_CUT}\n", _TAG.sub(" ", joined))
+def _split(texts: list[str | None]) -> Words:
+    joined = "\n\x00\n".join(["" if t is None else t.replace(_END, " ") if _END in t else t for t in texts]) + "\n\x00\n"
     buf = np.frombuffer(_fold(joined).encode("utf-8", "replace"), np.uint8)
     kind = _KIND[buf]
     at = np.flatnonzero(kind == 2)  # the block ends in a mark and a blank, so every other byte has one after it
@@ -95,20 +95,21 @@ def _split(texts: list[str | None], cut: re.Pattern | None) -> Words:
     tied = (kind[end] == 3) & word[end + 1] if len(end) else np.zeros(0, bool)
     first = np.flatnonzero(np.concatenate(([True], ~tied[:-1]))) if len(start) else np.zeros(0, np.int64)
     parts = np.diff(np.append(first, len(start)))
-    ends, cuts = np.flatnonzero(buf == 0), np.flatnonzero(buf <= 1)
-    return Words(found.dictionary.to_pylist(), np.asarray(found.indices), np.repeat(1 / np.maximum(parts, 1), parts), np.searchsorted(start, ends), np.searchsorted(start, cuts))
+    ends, cuts = np.searchsorted(start, np.flatnonzero(buf == 0)), np.searchsorted(start, np.flatnonzero(_CUTS[buf]))
+    cuts = cuts[np.diff(cuts, prepend=0) > 0]
+    return Words(found.dictionary.to_pylist(), np.asarray(found.indices), np.repeat(1 / np.maximum(parts, 1), parts), ends, cuts)
 
 
-def split_words(texts: Sequence[str | None], cut: re.Pattern | None = None) -> Iterator[tuple[int, Words]]:
-    """(first text, words) of blocks of texts; ``cut`` matches what ends a segment.  A null text has no words."""
+def split_words(texts: Sequence[str | None]) -> Iterator[tuple[int, Words]]:
+    """(first text, words) of blocks of texts.  A null text has no words."""
     start, size = 0, 0
     for k, t in enumerate(texts):
         if size and size + len(t or "") > BLOCK:
-            yield start, _split(list(texts[start:k]), cut)
+            yield start, _split(list(texts[start:k]))
             start, size = k, 0
         size += len(t or "") + 3
     if start < len(texts):
-        yield start, _split(list(texts[start:]), cut)
+        yield start, _split(list(texts[start:]))
 
 
 def words(text: str | None) -> list[str]:

@@ -45,7 +45,7 @@ def test_subjects_are_found_and_mentions_are_not(reviews):
 def split(title, text):
     batch = pa.RecordBatch.from_pydict({"title": [title], "text": [text]})
     ((_, w),) = subjects._documents(batch)
-    cuts = np.unique([0, *w.cuts])
+    cuts = [0, *w.cuts]
     return [[w.terms[k] for k in w.codes[a:b]] for a, b in zip(cuts, cuts[1:])]
 
 
