@@ -115,9 +115,38 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_target"))[1]
 
 
+def _soft_mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_target"), soft=True)
+
+
+def p7_soft_uses(spark: SparkSession, folder: str) -> DataFrame:
+    """Uses of all documents; those of other or unknown sources join by the classifier's probabilities."""
+    return _soft_mix(spark, folder)[0]
+
+
 def p7_soft_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """Shares when documents of other or unknown sources join by the classifier's probabilities."""
-    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_target"), soft=True)[1]
+    return _soft_mix(spark, folder)[1]
+
+
+def _within(report: DataFrame) -> DataFrame:
+    """Whether each source that has documents is within one document of its share of the total."""
+    off = F.abs(F.col("used_tokens") - F.col("target_tokens"))
+    return report.filter(F.col("largest_document") > 0).select("source", (off <= F.col("largest_document")).alias("within_a_document"))
+
+
+def p7_shares_reached(spark: SparkSession, folder: str) -> DataFrame:
+    return _within(p7_shares(spark, folder))
+
+
+def p7_soft_shares_reached(spark: SparkSession, folder: str) -> DataFrame:
+    return _within(p7_soft_shares(spark, folder))
+
+
+def p7_classifier_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of known source held out from the classifier, those it gets right, and those of the largest source."""
+    names = [r[0] for r in table(spark, folder, "mix_target").select(mixing.source_key(F.col("source"))).dropna().distinct().orderBy("source").collect()]
+    keyed = table(spark, folder, "documents").select("doc_id", mixing.source_key(F.col("source")).alias("source"), "text")
+    return mixing.held_out_accuracy(keyed, "text", "source", names, F.col("doc_id"))
 
 
 def _subjects(spark: SparkSession, folder: str) -> DataFrame:
@@ -152,7 +181,11 @@ QUERIES = {
     "p6_verbatim": p6_verbatim,
     "p7_document_uses": p7_document_uses,
     "p7_shares": p7_shares,
+    "p7_shares_reached": p7_shares_reached,
+    "p7_soft_uses": p7_soft_uses,
     "p7_soft_shares": p7_soft_shares,
+    "p7_soft_shares_reached": p7_soft_shares_reached,
+    "p7_classifier_accuracy": p7_classifier_accuracy,
     "p8_found": p8_found,
     "p8_composition": p8_composition,
     "p8_label_agreement": p8_label_agreement,
@@ -167,6 +200,9 @@ _TOP = f"""best AS (SELECT window_idx, {_sql_entity('host')} AS host, max(score)
     WHERE score BETWEEN 0 AND 1 AND NOT isnan(score) AND window_idx IS NOT NULL AND {_sql_entity('host')} IS NOT NULL GROUP BY 1, 2),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY window_idx ORDER BY score DESC, host) AS rank FROM best QUALIFY rank <= 10)"""
 
+_REACHED = """SELECT DISTINCT lower(trim(source)) AS source, true AS within_a_document FROM mix_target
+WHERE lower(trim(source)) IN (SELECT regexp_replace(lower(source), '^\\s+|\\s+$', '', 'g') FROM documents WHERE text <> '')"""
+
 ORACLES = {
     "p1_found": f"""WITH ev AS (SELECT ts, event_category AS c, {_sql_entity('source_entity')} AS s, {_sql_entity('destination_entity')} AS d FROM unified_event WHERE ts IS NOT NULL),
 truth AS (SELECT kind, idx, any_value(w.e) AS e, any_value(w.v_src) AS v_src, any_value(w.v_dst) AS v_dst,
@@ -181,6 +217,8 @@ UNION ALL SELECT kind, idx, 'v_dst' FROM truth WHERE abs(v_dst - td) > 0.1 * td"
     FROM (SELECT eval_id, 'passage' AS part, passage AS t FROM eval_item UNION ALL SELECT eval_id, 'question', question FROM eval_item)),
 held AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS held FROM documents)
 SELECT DISTINCT doc_id, eval_id, part FROM held JOIN (SELECT * FROM wanted WHERE len(string_split(whole, ' ')) >= 20) ON contains(held, whole)""",
+    "p7_shares_reached": _REACHED,
+    "p7_soft_shares_reached": _REACHED,
     "p8_label_agreement": """SELECT count(*) AS labels, true AS most_found FROM (SELECT DISTINCT doc_id, lower(trim(subject)) AS subject FROM subject_label)
 WHERE subject IN (SELECT subject FROM subject_area) AND doc_id IN (SELECT doc_id FROM documents)""",
 }
