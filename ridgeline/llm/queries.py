@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from ridgeline.functions.names import entity
 from ridgeline.llm import distinct, leakage, mixing, subjects, topn
+from ridgeline.session import cut_lineage
 from ridgeline.sources.tables import table
 
 #: p1_found: a stored figure is wrong beyond this relative deviation.
 DEVIATION = 0.1
+#: Categories of which all combinations are counted.
+MOST_CATEGORIES = 10
 
 
 def _hashed_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,8 +32,7 @@ def _window_counts(spark: SparkSession, folder: str) -> DataFrame:
     """(kind, idx, measure, stored, estimate) for every figure of window_info."""
     windows = _windows(spark, folder)
     distinct_windows = windows.select("window", "ts_start", "ts_end", "categories").dropDuplicates(["window"])
-    registers = distinct.window_registers(_hashed_events(spark, folder), distinct_windows)
-    found = distinct.estimates(registers, ["window"])
+    found = distinct.estimates(distinct.window_sketches(_hashed_events(spark, folder), distinct_windows), ["window"])
     stored = windows.select("window", "kind", "idx", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("stored")) for m in ("e", "v_src", "v_dst")])).alias("f"))
     return stored.select("window", "kind", "idx", "f.measure", "f.stored").join(found, ["window", "measure"], "left").select(
         "kind", "idx", "measure", "stored", F.coalesce("estimate", F.lit(0.0)).alias("estimate")
@@ -47,25 +49,35 @@ def p1_window_estimates(spark: SparkSession, folder: str) -> DataFrame:
     return _window_counts(spark, folder).withColumn("error_bound", F.lit(distinct.error_bound()))
 
 
-def _daily_registers(spark: SparkSession, folder: str) -> DataFrame:
-    events = _hashed_events(spark, folder).filter(F.col("ts").isNotNull()).withColumn("day", F.expr(f"ts div {distinct.DAY}"))
-    rows = distinct.register_rows(events, ["day", "category"], {m: F.col(m) for m in ("e", "v_src", "v_dst")})
-    return distinct.merge(rows, ["day", "category"])
-
-
 def p1_daily_sketches(spark: SparkSession, folder: str) -> DataFrame:
-    return distinct.sketches(_daily_registers(spark, folder), ["day", "category"])
+    events = _hashed_events(spark, folder).filter(F.col("ts").isNotNull()).withColumn("day", F.expr(f"ts div {distinct.DAY}"))
+    return distinct.sketch(events, ["day", "category"], ["e", "v_src", "v_dst"])
 
 
 def p1_daily_combinations(spark: SparkSession, folder: str) -> DataFrame:
-    """Estimates for each day and every combination of the five categories, by merging the days' stored sketches."""
-    names = ("ALERT", "AUTH", "DNS", "FLOW", "PROC")
-    stored = distinct.unsketch(p1_daily_sketches(spark, folder), ["day", "category"])
-    holding = {c: ["+".join(x for j, x in enumerate(names) if k >> j & 1) for k in range(1, 32) if k >> names.index(c) & 1] for c in names}
-    combos = F.create_map(*[x for c, v in holding.items() for x in (F.lit(c), F.array(*map(F.lit, v)))])
-    spread = stored.withColumn("categories", F.explode(combos[F.col("category")]))
-    merged = distinct.merge(spread, ["day", "categories"])
-    return distinct.estimates(merged, ["day", "categories"]).withColumn("error_bound", F.lit(distinct.error_bound()))
+    """Estimates for each day and every combination of the categories there are, by merging the days' stored sketches.
+
+    Rows without a category count as ``(none)``.  There may be at most MOST_CATEGORIES, else ValueError.
+    """
+    stored = cut_lineage(p1_daily_sketches(spark, folder).withColumn("category", F.coalesce("category", F.lit("(none)"))))
+    names = sorted(r[0] for r in stored.select("category").distinct().limit(MOST_CATEGORIES + 1).collect())
+    if len(names) > MOST_CATEGORIES:
+        raise ValueError(f"more than {MOST_CATEGORIES} categories have too many combinations")
+    combos = lambda c: ["+".join(x for j, x in enumerate(names) if k >> j & 1) for k in range(1, 1 << len(names)) if k >> names.index(c) & 1]
+    frame = spark.createDataFrame([(c, x) for c in names for x in combos(c)], "category string, categories string")
+    spread = stored.join(F.broadcast(frame), "category")
+    return distinct.estimates(distinct.merge(spread, ["day", "categories"]), ["day", "categories"]).withColumn("error_bound", F.lit(distinct.error_bound()))
+
+
+def p1_daily_within(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact daily counts of each category, and whether the estimates are within twice the stated bound."""
+    events = _hashed_events(spark, folder).filter(F.col("ts").isNotNull() & F.col("category").isNotNull()).withColumn("day", F.expr(f"ts div {distinct.DAY}"))
+    measures = ("e", "v_src", "v_dst")
+    items = events.select("day", "category", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("h")) for m in measures])).alias("x"))
+    exact = items.filter(F.col("x.h").isNotNull()).select("day", "category", "x.measure", "x.h").distinct().groupBy("day", "category", "measure").agg(F.count(F.lit(1)).alias("items"))
+    found = distinct.estimates(distinct.sketch(events, ["day", "category"], measures), ["day", "category"])
+    within = F.abs(F.col("estimate") - F.col("items")) <= 2 * distinct.error_bound() * F.col("items")
+    return exact.join(found, ["day", "category", "measure"], "left").select("day", "category", "measure", "items", F.coalesce(within, F.lit(False)).alias("within"))
 
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
@@ -174,6 +186,7 @@ QUERIES = {
     "p1_window_estimates": p1_window_estimates,
     "p1_daily_sketches": p1_daily_sketches,
     "p1_daily_combinations": p1_daily_combinations,
+    "p1_daily_within": p1_daily_within,
     "p5_found": p5_found,
     "p5_ranked_hosts": p5_ranked_hosts,
     "p6_found": p6_found,
@@ -211,6 +224,10 @@ truth AS (SELECT kind, idx, any_value(w.e) AS e, any_value(w.v_src) AS v_src, an
 SELECT kind, idx, 'e' AS measure FROM truth WHERE abs(e - te) > 0.1 * te
 UNION ALL SELECT kind, idx, 'v_src' FROM truth WHERE abs(v_src - ts_) > 0.1 * ts_
 UNION ALL SELECT kind, idx, 'v_dst' FROM truth WHERE abs(v_dst - td) > 0.1 * td""",
+    "p1_daily_within": f"""WITH ev AS (SELECT ts // 86400 AS day, event_category AS category, {_sql_entity('source_entity')} AS s, {_sql_entity('destination_entity')} AS d
+    FROM unified_event WHERE ts IS NOT NULL AND event_category IS NOT NULL),
+n AS (SELECT day, category, count(DISTINCT CASE WHEN s IS NOT NULL AND d IS NOT NULL THEN s || chr(1) || d END) AS e, count(DISTINCT s) AS v_src, count(DISTINCT d) AS v_dst FROM ev GROUP BY ALL)
+SELECT day, category, measure, items, true AS within FROM (SELECT day, category, 'e' AS measure, e AS items FROM n UNION ALL SELECT day, category, 'v_src', v_src FROM n UNION ALL SELECT day, category, 'v_dst', v_dst FROM n) WHERE items > 0""",
     "p5_found": f"WITH {_TOP} SELECT window_idx, host FROM ranked",
     "p5_ranked_hosts": f"WITH {_TOP} SELECT window_idx, host, score, rank FROM ranked",
     "p6_verbatim": """WITH wanted AS (SELECT eval_id, part, ' ' || trim(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g')) || ' ' AS whole
