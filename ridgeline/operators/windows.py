@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,64 +26,141 @@ class Thresholds:
     v_dst: int
 
 
-class _Open:
-    """The window being filled: its counts and the hashes seen so far."""
+#: Most events of a piece, the part of the stream that a task reduces to its distinct hashes.
+PIECE = 1 << 16
+KINDS = ("e", "v_src", "v_dst")
 
-    def __init__(self) -> None:
-        self.m = 0
-        self.first = self.last = 0
-        self.seen: dict[str, set[int]] = {k: set() for k in ("e", "v_src", "v_dst", "v_total")}
 
-    def fresh(self, kind: str, values: np.ndarray) -> np.ndarray:
-        """Where ``values`` has an item for the first time in this window."""
-        _, at = np.unique(values, return_index=True)
-        known = self.seen[kind]
-        new = np.zeros(len(values), np.int64)
-        new[[k for k, v in zip(at.tolist(), values[at].tolist(), strict=True) if v not in known]] = 1
-        return new
+@dataclass(frozen=True)
+class Piece:
+    """Consecutive events, reduced: the times with the place of the first event of each run of equal ones, and for
+    every kind the distinct hashes in order, with the places of their first and last event."""
+
+    n: int
+    times: np.ndarray
+    time_at: np.ndarray
+    hashes: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+    def time(self, place: int) -> int:
+        return int(self.times[np.searchsorted(self.time_at, place, side="right") - 1])
+
+
+def piece_of(ts: np.ndarray, columns: dict[str, np.ndarray]) -> Piece:
+    n = len(ts)
+    runs = np.flatnonzero(np.concatenate(([True], ts[1:] != ts[:-1])))
+    hashes = {}
+    for kind in KINDS:
+        order = np.argsort(columns[kind], kind="stable")
+        own = columns[kind][order]
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        hashes[kind] = own[first], order[first], order[np.append(first[1:], n) - 1]
+    return Piece(n, ts[runs], runs, hashes)
+
 
-    def take(self, ts: np.ndarray, columns: dict[str, np.ndarray]) -> None:
+class Scan:
+    """The window being filled, in a stream of pieces of at most ``thresholds.m`` events.
+
+    A window that starts within a piece can't close in it, so all that is needed of a piece is which hashes come
+    first, and which are there after a given place.
+    """
+
+    def __init__(self, thresholds: Thresholds) -> None:
+        self.t = thresholds
+        self.m, self.first, self.last, self.idx = 0, 0, 0, 0
+        self.seen = {k: np.zeros(0, np.int64) for k in KINDS}
+
+    def _row(self, seen: dict[str, np.ndarray], m: int, last: int) -> list[object]:
+        total = len(np.union1d(seen["v_src"], seen["v_dst"]))
+        return [self.idx, self.first, last, m, *(len(seen[k]) for k in KINDS), total, False]
+
+    def take(self, piece: Piece) -> list[object] | None:
+        """Adds a piece; the window that closes in it, if one does."""
         if self.m == 0:
-            self.first = int(ts[0])
-        self.m += len(ts)
-        self.last = int(ts[-1])
-        for kind in ("e", "v_src", "v_dst"):
-            self.seen[kind].update(np.unique(columns[kind]).tolist())
-        self.seen["v_total"].update(np.unique(columns["v_src"]).tolist(), np.unique(columns["v_dst"]).tolist())
-
-    def row(self, idx: int) -> list[object]:
-        return [idx, self.first, self.last, self.m, *(len(self.seen[k]) for k in ("e", "v_src", "v_dst", "v_total")), False]
-
-
-def scan_windows(batches: Iterator[tuple[np.ndarray, dict[str, np.ndarray]]], t: Thresholds, merge_tail: bool, tail_ratio: float, tail_pairs: bool) -> Iterator[list[object]]:
-    """Rows of WINDOW_SCHEMA from ordered batches of (ts, hashes); the last window is held back for the tail."""
-    now, held, idx = _Open(), None, 0
-    step = max(1, min(t.m, 200_000))
-    for ts, columns in batches:
-        k = 0
-        while k < len(ts):
-            part = slice(k, min(len(ts), k + step))
-            own = {c: v[part] for c, v in columns.items()}
-            n = part.stop - part.start
-            ready = now.m + np.arange(1, n + 1) >= t.m
-            for kind, least in (("e", t.e), ("v_src", t.v_src), ("v_dst", t.v_dst)):
-                ready &= len(now.seen[kind]) + np.cumsum(now.fresh(kind, own[kind])) >= least
-            stop = int(ready.argmax()) + 1 if ready.any() else n
-            now.take(ts[k : k + stop], {c: v[:stop] for c, v in own.items()})
-            k += stop
-            if ready.any():
-                if held is not None:
-                    yield held
-                held, now, idx = now.row(idx), _Open(), idx + 1
-    if now.m and merge_tail and held is not None and now.m < tail_ratio * t.m:
-        held[2], held[3], held[8] = now.last, held[3] + now.m, True
-        held[4] += len(now.seen["e"]) if tail_pairs else 0
+            self.first = int(piece.times[0])
+        fresh, places, close = {}, {}, self.t.m - self.m - 1
+        for kind, least in zip(KINDS, (self.t.e, self.t.v_src, self.t.v_dst), strict=True):
+            values, first, _ = piece.hashes[kind]
+            known = self.seen[kind]
+            at = np.searchsorted(known, values)
+            new = np.ones(len(values), bool) if not len(known) else known[np.minimum(at, len(known) - 1)] != values
+            fresh[kind], places[kind] = new, at
+            missing = least - len(known)
+            if missing > 0:
+                starts = np.sort(first[new])
+                close = max(close, int(starts[missing - 1]) if missing <= len(starts) else piece.n)
+        close = max(close, 0)
+        until = min(close, piece.n - 1)
+        seen = {}
+        for kind in KINDS:
+            values, first, _ = piece.hashes[kind]
+            own = fresh[kind] & (first <= until)
+            seen[kind] = np.insert(self.seen[kind], places[kind][own], values[own])
+        if close >= piece.n:
+            self.seen, self.m, self.last = seen, self.m + piece.n, int(piece.times[-1])
+            return None
+        row = self._row(seen, self.m + close + 1, piece.time(close))
+        self.idx += 1
+        self.m, self.last = piece.n - close - 1, int(piece.times[-1])
+        self.first = piece.time(close + 1) if self.m else 0
+        self.seen = {k: piece.hashes[k][0][piece.hashes[k][2] > close] for k in KINDS}
+        return row
+
+    def open_row(self) -> list[object]:
+        return self._row(self.seen, self.m, self.last)
+
+
+def scan_windows(pieces: Iterator[Piece], t: Thresholds, merge_tail: bool, tail_ratio: float, tail_pairs: bool) -> Iterator[list[object]]:
+    """Rows of WINDOW_SCHEMA from the stream's pieces; the last window is held back for the tail."""
+    scan, held = Scan(t), None
+    for piece in pieces:
+        row = scan.take(piece)
+        if row is not None:
+            if held is not None:
+                yield held
+            held = row
+    if scan.m and merge_tail and held is not None and scan.m < tail_ratio * t.m:
+        held[2], held[3], held[8] = scan.last, held[3] + scan.m, True
+        held[4] += len(scan.seen["e"]) if tail_pairs else 0
         yield held
     else:
         if held is not None:
             yield held
-        if now.m:
-            yield now.row(idx)
+        if scan.m:
+            yield scan.open_row()
+
+
+_PIECES = "part int, seq bigint, n int, times binary, time_at binary, " + ", ".join(f"{k} binary, {k}_first binary, {k}_last binary" for k in KINDS)
+
+
+def stream_pieces(rows: DataFrame, order: list[str], size: int) -> DataFrame:
+    """Pieces of at most ``size`` events of the stream in its total order, by part of the sorted stream and place in it.
+
+    ``rows``: the columns of ``order``, ts, e, v_src, v_dst.  The sort and the reduction are distributed; a piece ends
+    where a part of the sort ends.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq, held = TaskContext.get().partitionId(), 0, {c: np.zeros(0, np.int64) for c in ("ts", *KINDS)}
+
+        def reduced(own: dict[str, np.ndarray]) -> pa.RecordBatch:
+            p = piece_of(own["ts"], own)
+            values = [p.times, p.time_at.astype(np.int32)] + [x if x.dtype == np.int64 and k == 0 else x.astype(np.int32) for kind in KINDS for k, x in enumerate(p.hashes[kind])]
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq]), pa.array([p.n], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in values)], names=[c.split()[0] for c in _PIECES.split(", ")])
+
+        for b in batches:
+            held = {c: np.concatenate([v, np.asarray(b.column(c))]) for c, v in held.items()}
+            while len(held["ts"]) >= size:
+                yield reduced({c: v[:size] for c, v in held.items()})
+                held, seq = {c: v[size:] for c, v in held.items()}, seq + 1
+        if len(held["ts"]):
+            yield reduced(held)
+
+    return rows.orderBy(*order).select("ts", *KINDS).mapInArrow(run, _PIECES)
+
+
+def _read_piece(row: dict[str, object]) -> Piece:
+    each = {k: (np.frombuffer(row[k], np.int64), np.frombuffer(row[f"{k}_first"], np.int32), np.frombuffer(row[f"{k}_last"], np.int32)) for k in KINDS}
+    return Piece(row["n"], np.frombuffer(row["times"], np.int64), np.frombuffer(row["time_at"], np.int32), each)
 
 
 def adaptive_windows(
@@ -93,21 +171,22 @@ def adaptive_windows(
     A window closes at the first event where its events, distinct pairs, sources and destinations all reach their
     thresholds, and all counts start anew.  A tail of less than ``tail_ratio`` of the event threshold joins the last
     window (its pairs are added, though some may repeat, if ``tail_pairs``), else it is a window of its own.
-    Boundaries depend on everything before them, so one task scans the stream: it sorts four numbers an event (on disk
-    where they exceed memory) and keeps one window's hashes.  No events, no windows.
+    Boundaries depend on everything before them.  Sorting the stream and finding each piece's distinct hashes, with
+    their first and last places, is distributed; what one task then chains are the pieces' distinct hashes (64 bits;
+    two names of one hash would count once), some sets of numbers for each piece and no event.  No events, no windows.
     """
     s, d = F.col("source_entity"), F.col("destination_entity")
-    rows = events.select(*[F.col(c).alias(f"__o{k}") for k, c in enumerate(order)], F.col("ts").cast("bigint").alias("ts"), F.xxhash64(s).alias("v_src"), F.xxhash64(d).alias("v_dst"), F.xxhash64(s, d).alias("e"))
-    ordered = rows.repartition(1).sortWithinPartitions(*[f"__o{k}" for k in range(len(order))]).select("ts", "e", "v_src", "v_dst")
+    names = [f"__o{k}" for k in range(len(order))]
+    rows = events.select(*[F.col(c).alias(n) for c, n in zip(order, names, strict=True)], F.col("ts").cast("bigint").alias("ts"), F.xxhash64(s).alias("v_src"), F.xxhash64(d).alias("v_dst"), F.xxhash64(s, d).alias("e"))
+    pieces = stream_pieces(rows, names, max(1, min(thresholds.m, PIECE)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = ((np.asarray(b.column("ts")), {c: np.asarray(b.column(c)) for c in ("e", "v_src", "v_dst")}) for b in batches)
-        rows = list(scan_windows(numbers, thresholds, merge_tail, tail_ratio, tail_pairs))
+        found = list(scan_windows((_read_piece(r) for b in batches for k in range(b.num_rows) for r in b.slice(k, 1).to_pylist()), thresholds, merge_tail, tail_ratio, tail_pairs))
         names = [x.split()[0] for x in WINDOW_SCHEMA.split(", ")]
         kinds = [pa.int64()] * 8 + [pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)], names=names)
 
-    return ordered.mapInArrow(run, WINDOW_SCHEMA)
+    return pieces.repartition(1).sortWithinPartitions("part", "seq").mapInArrow(run, WINDOW_SCHEMA)
 
 
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:

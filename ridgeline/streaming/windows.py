@@ -1,13 +1,12 @@
 """Adaptive windows over a live stream.
 
-One stateful operator holds the open window of each stream key: its counts and the hashes seen.  Events are ordered
+One stateful operator holds the open window of each stream key: its counts and the hashes seen, eight bytes each.  Events are ordered
 inside each micro-batch; what arrives in a later batch counts as later.  The result equals the batch operator when
 batches follow the total order.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,28 +15,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ridgeline.operators.windows import Thresholds, _Open
+from ridgeline.operators.windows import KINDS, PIECE, Scan, Thresholds, piece_of
 
 STREAM_SCHEMA = "stream string, idx bigint, ts_start bigint, ts_end bigint, m bigint, e bigint, v_src bigint, v_dst bigint, v_total bigint"
 
 
-def _advance(now: _Open, idx: int, frame: pd.DataFrame, t: Thresholds) -> tuple[_Open, int, list[list[object]]]:
-    closed = []
-    ts = frame["ts"].to_numpy()
-    columns = {c: frame[c].to_numpy() for c in ("e", "v_src", "v_dst")}
-    k = 0
-    while k < len(ts):
-        own = {c: v[k:] for c, v in columns.items()}
-        ready = now.m + np.arange(1, len(ts) - k + 1) >= t.m
-        for kind, least in (("e", t.e), ("v_src", t.v_src), ("v_dst", t.v_dst)):
-            ready &= len(now.seen[kind]) + np.cumsum(now.fresh(kind, own[kind])) >= least
-        stop = int(ready.argmax()) + 1 if ready.any() else len(ts) - k
-        now.take(ts[k : k + stop], {c: v[:stop] for c, v in own.items()})
-        k += stop
-        if ready.any():
-            closed.append(now.row(idx)[:8])
-            now, idx = _Open(), idx + 1
-    return now, idx, closed
+def _stored(scan: Scan) -> tuple[int, int, int, int, bytes, bytes, bytes]:
+    return scan.m, scan.first, scan.last, scan.idx, *(scan.seen[k].tobytes() for k in KINDS)
+
+
+def _restored(state: tuple, t: Thresholds) -> Scan:
+    scan = Scan(t)
+    scan.m, scan.first, scan.last, scan.idx = state[:4]
+    scan.seen = {k: np.frombuffer(bytes(v), np.int64) for k, v in zip(KINDS, state[4:], strict=True)}
+    return scan
 
 
 def stream_windows(events: DataFrame, thresholds: Thresholds, stream: str | None = None) -> DataFrame:
@@ -50,10 +41,16 @@ def stream_windows(events: DataFrame, thresholds: Thresholds, stream: str | None
     rows = events.select(key.alias("stream"), "event_id", F.col("ts").cast("bigint").alias("ts"), F.xxhash64(s).alias("v_src"), F.xxhash64(d).alias("v_dst"), F.xxhash64(s, d).alias("e"))
 
     def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, idx = pickle.loads(state.get[0]) if state.exists else (_Open(), 0)  # noqa: S301 - own state
+        scan = _restored(state.get, thresholds) if state.exists else Scan(thresholds)
         frame = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "event_id"])
-        now, idx, closed = _advance(now, idx, frame, thresholds)
-        state.update((pickle.dumps((now, idx)),))
-        yield pd.DataFrame([[group[0], *r] for r in closed], columns=[c.split()[0] for c in STREAM_SCHEMA.split(", ")])
-
-    return rows.groupBy("stream").applyInPandasWithState(run, STREAM_SCHEMA, "state binary", "append", GroupStateTimeout.NoTimeout)
+        size, closed = max(1, min(thresholds.m, PIECE)), []
+        for k in range(0, len(frame), size):
+            own = frame.iloc[k : k + size]
+            row = scan.take(piece_of(own["ts"].to_numpy(), {c: own[c].to_numpy() for c in KINDS}))
+            if row is not None:
+                closed.append([group[0], *row[:8]])
+        state.update(_stored(scan))
+        yield pd.DataFrame(closed, columns=[c.split()[0] for c in STREAM_SCHEMA.split(", ")])
+
+    kept = "m bigint, first bigint, last bigint, idx bigint, " + ", ".join(f"{k} binary" for k in KINDS)
+    return rows.groupBy("stream").applyInPandasWithState(run, STREAM_SCHEMA, kept, "append", GroupStateTimeout.NoTimeout)

@@ -42,8 +42,13 @@ def sequential(rows, t, merge=True, ratio=0.5, tail_pairs=True):
 @pytest.mark.parametrize("options", [{}, {"merge_tail": False}, {"tail_pairs": False, "tail_ratio": 1.0}])
 def test_scan_equals_sequential_reading(t, options):
     rows = events(t.m)
-    numbers = [(np.array([x[1] for x in part]), {"e": np.array([hash(x[2:]) for x in part]), "v_src": np.array([hash(x[2]) for x in part]), "v_dst": np.array([hash(x[3]) for x in part])}) for part in (rows[:7], rows[7:300], rows[300:])]
-    got = list(windows.scan_windows(iter(numbers), t, options.get("merge_tail", True), options.get("tail_ratio", 0.5), options.get("tail_pairs", True)))
+    r, pieces, k = random.Random(t.e), [], 0
+    while k < len(rows):
+        part = rows[k : k + r.randint(1, min(t.m, 200))]
+        k += len(part)
+        code = lambda f: np.array([hash(f(x)) for x in part], np.int64)
+        pieces.append(windows.piece_of(np.array([x[1] for x in part]), {"e": code(lambda x: x[2:]), "v_src": code(lambda x: x[2]), "v_dst": code(lambda x: x[3])}))
+    got = list(windows.scan_windows(iter(pieces), t, options.get("merge_tail", True), options.get("tail_ratio", 0.5), options.get("tail_pairs", True)))
     assert [tuple(x) for x in got] == sequential(rows, t, options.get("merge_tail", True), options.get("tail_ratio", 0.5), options.get("tail_pairs", True))
 
 
