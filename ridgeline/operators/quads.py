@@ -1,7 +1,8 @@
 """Separating raw five-column lines into cells, and lines that fail into reasons.
 
-Each Arrow batch is one byte buffer.  Quote masks and their prefix parity give the delimiters and the record
-ends of the whole batch at once; cells are then slices of the buffer and are checked column by column.
+Each Arrow batch of a table, and each raw file, is one byte buffer.  Quote masks and their prefix parity give the
+delimiters of the whole buffer at once, and in a file also the record ends, for quoted cells may hold line breaks;
+cells are then slices of the buffer and are checked column by column.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CELLS = ("timestamp", "src_node", "dst_node", "action_state", "source_file")
@@ -29,7 +30,11 @@ ACTION_FORMS = {
 }
 TIMESTAMP_FORM = r"\A[1-9][0-9]{0,8}\z"
 
-_QUOTE, _COMMA = 34, 44
+_QUOTE, _COMMA, _BREAK, _RETURN = 34, 44, 10, 13
+#: Lines that a record of a file may hold.  A quote that isn't closed within them is broken, and its line a record.
+RECORD_LINES = 1000
+#: Records of a file that are checked at once.
+_RECORDS = 20_000
 
 
 def _flags(at: np.ndarray, n: int) -> np.ndarray:
@@ -62,6 +67,33 @@ def structural_index(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.n
     return np.flatnonzero(delimiter), broken
 
 
+def record_bounds(buf: np.ndarray, most: int = RECORD_LINES) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every record of a file's bytes: line breaks where the parity of the quotes before is even.
+
+    Line breaks (and a carriage return before one) belong to no record; one at the end of the file starts none.
+    """
+    breaks = np.flatnonzero(buf == _BREAK)
+    starts = np.concatenate(([0], breaks + 1))
+    ends = np.append(breaks, len(buf))
+    if starts[-1] == len(buf):
+        starts, ends = starts[:-1], ends[:-1]
+    before = np.concatenate(([0], np.cumsum(buf == _QUOTE)))
+    odd = np.flatnonzero((before[ends] - before[starts]) & 1)
+    goes_on = np.zeros(len(starts), np.int64)
+    k = 0
+    while k < len(odd):  # only lines in which a quoted cell opens or closes
+        if k + 1 < len(odd) and odd[k + 1] - odd[k] < most:
+            goes_on[odd[k] : odd[k + 1]] = 1
+            k += 2
+        else:
+            k += 1
+    first = np.flatnonzero(np.concatenate(([True], goes_on[:-1] == 0))) if len(starts) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(starts))[: len(first)] - 1
+    end = ends[last]
+    back = (end > starts[first]) & (buf[np.maximum(end - 1, 0)] == _RETURN) if len(buf) else np.zeros(len(end), bool)
+    return starts[first], end - back
+
+
 def _slices(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     size = end - start
     bounds = np.concatenate(([0], np.cumsum(size)))
@@ -145,3 +177,27 @@ def parse_quads(df: DataFrame, line: str = "line") -> DataFrame:
             )
 
     return source.mapInArrow(run, schema)
+
+
+def parse_quad_files(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
+    """Records of raw quad files: file_name, line_no (the record's number from 1), the cells, reason and rejected.
+
+    A quoted cell may span lines.  A file is read by one task, as files with line breaks in cells always are; parts
+    of bounded size, which the sinks write, keep that short.  ``header`` skips each file's first record.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    added = (*CELLS, "reason", "rejected")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                buf = np.frombuffer(content.as_buffer(), np.uint8) if content.is_valid else np.zeros(0, np.uint8)
+                start, end = record_bounds(buf)
+                for k in range(int(header), len(start), _RECORDS):
+                    lines = _slices(buf, start[k : k + _RECORDS], end[k : k + _RECORDS])
+                    cells, reason = parse_lines(lines)
+                    rejected = pc.if_else(pc.is_valid(reason), lines.cast(pa.string()), pa.scalar(None, pa.string()))
+                    number = pa.array(np.arange(k + 1, k + 1 + len(lines)))
+                    yield pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[-1]] * len(lines), pa.string()), number, *cells, reason, rejected], names=["file_name", "line_no", *added])
+
+    return files.mapInArrow(run, ", ".join(["file_name string", "line_no bigint", *(f"{c} string" for c in added)]))

@@ -1,12 +1,15 @@
 import csv
 import io
+import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from ridgeline.operators import quads
 from ridgeline.operators.quads import CELLS, parse_lines, parse_quads
 
 GOOD = "6,U1@DOM1|C2,C3,LogOn_Success_Network_NTLM,auth"
@@ -87,3 +90,46 @@ def test_sliced_arrays(n):
     lines = pa.array(["bad", GOOD, GOOD], pa.string())[n:2]
     _, reason = parse_lines(lines)
     assert reason.to_pylist() == ["columns", None][n:]
+
+
+def plain_records(data):
+    """Record ends by reading character by character."""
+    out, own, inside = [], "", False
+    for c in data:
+        if c == "\n" and not inside:
+            out.append(own.removesuffix("\r"))
+            own = ""
+        else:
+            inside ^= c == '"'
+            own += c
+    return out + ([own.removesuffix("\r")] if own else [])
+
+
+def records(data, most=1000):
+    buf = np.frombuffer(data.encode(), np.uint8)
+    return [data.encode()[a:b].decode() for a, b in zip(*quads.record_bounds(buf, most), strict=True)]
+
+
+def test_record_ends_follow_the_quotes():
+    r = random.Random(6)
+    for _ in range(300):
+        data = "".join(r.choice(['a', ',', '"', '""', '\n', '\r\n', 'b"c\n"']) for _ in range(r.randint(0, 40)))
+        if data.count('"') % 2 == 0:
+            assert records(data) == plain_records(data), data
+    # a quote that is never closed, or too late, breaks its own line only
+    assert records('1,"a\n2,b\n3,c\n') == ['1,"a', "2,b", "3,c"]
+    assert records('1,"a\n2,b\n3,c"\n4,"x\ny"\n', 3) == ['1,"a\n2,b\n3,c"', '4,"x\ny"']
+    assert records('1,"a\n2,b\n3,c"\n4,"x\ny"\n', 2) == ['1,"a', "2,b", '3,c"\n4,"x', 'y"']
+    assert records("") == [] and records("\n\na") == ["", "", "a"]
+
+
+def test_files_with_line_breaks_in_cells(spark, tmp_path, monkeypatch):
+    good = [f'{k + 1},"U{k}\nx, ""y""",C{k},DNS_Query,dns' for k in range(50)]
+    (tmp_path / "dns_part000.csv").write_bytes(("timestamp,src_node,dst_node,action_state,source_file\r\n" + "\r\n".join(good) + "\r\nbad line\n").encode())
+    (tmp_path / "dns_part001.csv").write_bytes(b"")
+    (tmp_path / "dns_part002.csv").write_bytes(b'7,"open,C1,DNS_Query,dns\n8,a,b,DNS_Query,dns')
+    rows = quads.parse_quad_files(spark, str(tmp_path), header=True).orderBy("file_name", "line_no").collect()
+    assert [(r.timestamp, r.src_node) for r in rows if r.file_name.endswith("000.csv") and r.reason is None] == [(str(k + 1), f'U{k}\nx, "y"') for k in range(50)]
+    assert [(r.line_no, r.reason, r.rejected) for r in rows if r.reason] == [(52, "columns", "bad line")]
+    loose = quads.parse_quad_files(spark, str(tmp_path / "dns_part002.csv")).orderBy("line_no").collect()
+    assert [(r.line_no, r.reason, r.timestamp) for r in loose] == [(1, "quoting", None), (2, None, "8")]
