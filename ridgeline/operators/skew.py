@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 #: Sketch counters for each wanted heavy key; the relative count error is 3.5 / counters.
 COUNTERS_PER_KEY = 64
+#: Most counters of a sketch; a share that needs more is an error, for keys could be missed.
+MOST_COUNTERS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -31,19 +33,22 @@ def heavy_keys(df: DataFrame, key: str, share: float, group: str | None = None,
 
     No key above the share is missed: the sketch's error is a twentieth of the share.  A few keys below it may be
     listed, which costs nothing but speed.  Null keys are never heavy, but their rows count in the totals.
-    ``group`` must have few values (roles, categories): at most ``max_groups``, else ValueError.
+    ``group`` must have few values (roles, categories): at most ``max_groups``, else ValueError; so is a share too
+    small for the sketch.
     """
     if not 0 < share < 1:
         raise ValueError("share must lie between 0 and 1")
     wanted = max(2, int(2 / share))
     counters = 1 << (wanted * COUNTERS_PER_KEY - 1).bit_length()
+    if counters > MOST_COUNTERS:
+        raise ValueError(f"a share below {2 * COUNTERS_PER_KEY / MOST_COUNTERS:.2g} needs more counters than the sketch has")
     by = [F.col(group)] if group else [F.lit(None).cast("string").alias("__group")]
     name = group or "__group"
     rows = (
         df.groupBy(*by)
         .agg(
             F.count(F.lit(1)).alias("rows"),
-            F.expr(f"approx_top_k(`{key}`, {wanted}, {min(counters, 1_000_000)})").alias("top"),
+            F.expr(f"approx_top_k(`{key}`, {wanted}, {counters})").alias("top"),
         )
         .limit(max_groups + 1)
         .collect()
@@ -88,21 +93,25 @@ def skew_free_aggregate(
 
 
 def skew_join(
-    left: DataFrame, right: DataFrame, key: str, heavy: DataFrame, how: str = "inner", most_rows: int = 1_000_000
+    left: DataFrame, right: DataFrame, key: str, heavy: DataFrame, how: str = "inner", most_rows: int = 1_000_000, salts: int = 64
 ) -> DataFrame:
     """``left`` joined with ``right`` on ``key`` where ``left`` is skewed: heavy keys by broadcast, others by shuffle.
 
-    The rows of ``right`` for heavy keys are broadcast only if there are at most ``most_rows``; beyond that the
-    heavy side is left to the shuffled join with adaptive skew handling.  ``how`` is ``inner`` or ``left``; rows of
-    ``left`` with a null key match nothing.
+    The rows of ``right`` for heavy keys are broadcast only if there are at most ``most_rows``.  Beyond that the rows of
+    ``left`` for a heavy key are spread over ``salts`` parts, which meet as many copies of the rows of ``right``.
+    ``how`` is ``inner`` or ``left``; rows of ``left`` with a null key match nothing.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     small = F.broadcast(heavy.select(key))
     hot_right = right.join(small, key, "left_semi")
-    if len(hot_right.select(key).limit(most_rows + 1).take(most_rows + 1)) > most_rows:
-        return left.join(right, key, how)
-    hot = left.join(small, key, "left_semi").join(F.broadcast(hot_right), key, how)
+    hot_left = left.join(small, key, "left_semi")
+    if hot_right.select(key).limit(most_rows + 1).count() <= most_rows:
+        hot = hot_left.join(F.broadcast(hot_right), key, how)
+    else:
+        spread = hot_left.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+        copies = hot_right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        hot = spread.join(copies, [key, "__salt"], how).drop("__salt")
     cold = left.join(small, key, "left_anti").join(right.join(small, key, "left_anti"), key, how)
     return hot.unionByName(cold)
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.functions.names import entity
-from ridgeline.operators.features import entity_features, entity_type_counts, known_types
+from ridgeline.operators.features import ALL_TYPES, NO_TYPE, entity_features, entity_type_counts, known_types
 from ridgeline.operators.quads import parse_quads
 from ridgeline.operators.skew import heavy_keys, role_rows, skew_free_aggregate, skew_join
 from ridgeline.sources.tables import table
@@ -64,6 +66,15 @@ def p4_entity_type_counts(spark: SparkSession, folder: str) -> DataFrame:
     return entity_type_counts(events, entity(F.col("source_entity")), F.col("event_type"), F.col("ts"), "event_id", "loaded_at")
 
 
+def p4_feature_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """The feature table with a row for each cell that has events: (entity, event_type, n, latest, since)."""
+    wide = p4_entity_features(spark, folder)
+    types = [c.removesuffix("_since") for c in wide.columns if c.endswith("_since")]
+    column = lambda t, k: F.col("`" + f"{t}_{k}".replace("`", "``") + "`")
+    cells = F.array(*[F.struct(F.lit(t).alias("event_type"), *[column(t, k).alias(k) for k in ("n", "latest", "since")]) for t in types])
+    return wide.select("entity", F.explode(cells).alias("c")).select("entity", "c.*").filter(F.col("n") > 0)
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_entity_rows": p2_entity_rows,
@@ -72,6 +83,7 @@ QUERIES = {
     "p3_quads": p3_quads,
     "p4_entity_features": p4_entity_features,
     "p4_entity_type_counts": p4_entity_type_counts,
+    "p4_feature_cells": p4_feature_cells,
 }
 
 
@@ -120,8 +132,29 @@ s AS (SELECT {sql_entity('source_entity')} AS entity, event_category, count(*) A
 SELECT s.entity, event_category, sent, coalesce(received, 0) AS received FROM s LEFT JOIN r ON s.entity = r.entity WHERE s.entity IS NOT NULL""",
     "p3_found": f"WITH {_QUADS} SELECT DISTINCT line_id, reason FROM judged WHERE reason IS NOT NULL",
     "p3_quads": f"WITH {_QUADS} SELECT line_id, timestamp, src_node, dst_node, action_state, source_file FROM judged WHERE reason IS NULL",
-    "p4_entity_features": f"""PIVOT (WITH {_TYPE_COUNTS}, everything AS (SELECT * FROM counts UNION ALL SELECT entity, '(all)', sum(n)::BIGINT, max(latest) FROM counts GROUP BY entity)
-    SELECT entity, event_type, n, latest, (SELECT max(ts) FROM unified_event) - latest AS since FROM everything)
-ON event_type USING coalesce(first(n), 0) AS n, first(latest) AS latest, first(since) AS since GROUP BY entity""",
+    "p4_feature_cells": f"""WITH {_TYPE_COUNTS}, everything AS (SELECT * FROM counts UNION ALL SELECT entity, '(all)', sum(n)::BIGINT, max(latest) FROM counts GROUP BY entity)
+SELECT entity, event_type, n, latest, (SELECT max(ts) FROM unified_event) - latest AS since FROM everything""",
     "p4_entity_type_counts": f"WITH {_TYPE_COUNTS} SELECT * FROM counts",
 }
+
+
+def features_sql(types: list[str]) -> str:
+    """The feature table's SQL with an explicit list of types, as the pivot has one."""
+    columns = []
+    for t in types:
+        own, name = t.replace("'", "''"), t.replace('"', '""')
+        columns += [f"""coalesce(list_extract(ns, list_position(kinds, '{own}')), 0) AS "{name}_n\"""", f"""list_extract(times, list_position(kinds, '{own}')) AS "{name}_latest\"""", f"""newest - list_extract(times, list_position(kinds, '{own}')) AS "{name}_since\""""]
+    return f"""WITH {_TYPE_COUNTS}, everything AS (SELECT * FROM counts UNION ALL SELECT entity, '(all)', sum(n)::BIGINT, max(latest) FROM counts GROUP BY entity),
+lists AS MATERIALIZED (SELECT entity, list(event_type ORDER BY event_type) AS kinds, list(n ORDER BY event_type) AS ns, list(latest ORDER BY event_type) AS times, (SELECT max(ts) FROM unified_event) AS newest FROM everything GROUP BY entity)
+SELECT entity, {', '.join(columns)} FROM lists"""
+
+
+def oracles(events: str = "/root/testdata/sf0.01/unified_event.parquet") -> dict[str, str]:
+    """ORACLES, and the feature table's SQL with the types of the table it is compared on, where that is there."""
+    import pyarrow.compute as pc
+    import pyarrow.parquet as pq
+
+    if not Path(events).exists():
+        return ORACLES
+    types = pc.unique(pc.fill_null(pq.read_table(events, columns=["event_type"]).column(0), NO_TYPE)).to_pylist()
+    return ORACLES | {"p4_entity_features": features_sql([*sorted(types), ALL_TYPES])}

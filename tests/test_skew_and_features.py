@@ -52,6 +52,11 @@ def test_no_rows(spark):
     assert heavy.totals == {} and skew_free_aggregate(roles, ["role", "entity"], {"n": F.count(F.lit(1))}, {"n": F.sum("n")}, heavy.keys).count() == 0
 
 
+def test_a_share_too_small_for_the_sketch_is_an_error(spark):
+    with pytest.raises(ValueError, match="counters"):
+        heavy_keys(spark.range(3).selectExpr("cast(id as string) AS key"), "key", 1e-5)
+
+
 def test_too_many_groups(spark):
     with pytest.raises(ValueError):
         heavy_keys(spark.range(10).select(F.col("id").cast("string").alias("g"), F.lit("x").alias("key")), "key", 0.1, group="g", max_groups=5)
