@@ -18,6 +18,7 @@ def local_session(cores: str = "8", app: str = "ridgeline", **extra: str) -> Spa
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         "spark.driver.host": "127.0.0.1",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | extra
     spark = SparkSession.builder.master(f"local[{cores}]").appName(app).config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -27,11 +28,15 @@ def local_session(cores: str = "8", app: str = "ridgeline", **extra: str) -> Spa
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read from there.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset (tests on one
-    machine) a temporary folder takes its place.
+    The folder is the session's ``spark.checkpoint.dir``.  Where that is unset, a local session gets a temporary
+    folder; a cluster, whose executors could not read one, gets a RuntimeError.  Files are removed when the frame is no
+    longer referenced, if the session sets ``spark.cleaner.referenceTracking.cleanCheckpoints``, as local ones do.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ridgeline-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ridgeline-"))
     return df.checkpoint(eager=True)
