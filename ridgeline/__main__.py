@@ -18,7 +18,8 @@ from ridgeline.session import local_session
 from ridgeline.sources import ingest
 from ridgeline.sources.toy import PIVOT, TOY_THRESHOLDS, toy_events
 
-ORDERS = {"storage": ("file_no", "row_no"), "ts": ("ts", "file_no", "row_no")}
+_STORAGE = ("category_no", "file_no", "file_name", "row_no")
+ORDERS = {"storage": _STORAGE, "ts": ("ts", *_STORAGE)}
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -32,9 +33,21 @@ def _parser() -> argparse.ArgumentParser:
         if name == "preprocess":
             c.add_argument("--raw-dir", required=True)
             c.add_argument("--rows-per-part", type=int, default=5_000_000)
+            c.add_argument("--quads-dir", help="folder of the quad parts")
+            c.add_argument("--cleaned-dir", help="folder of the events")
+            for step in ("prepare", "clean", "vocabulary"):
+                c.add_argument(f"--skip-{step}", action="store_true")
+            for log in ingest.OPTIONAL:
+                c.add_argument(f"--include-{log}", action="store_true")
+        c.add_argument("--strict", action="store_true", help="a damaged time or alert ends the job")
+        if name != "preprocess":
+            c.add_argument("--max-files", type=int, help="read the first files of each category only")
         if name == "windows":
             c.add_argument("--kind", choices=("adaptive", "fixed"), default="adaptive")
             c.add_argument("--events-per-window", type=int, default=2_000_000)
+            c.add_argument("--categories", type=lambda v: tuple(v.split(",")), default=("AUTH",))
+        if name == "ablation":
+            c.add_argument("--fixed-windows", help="output folder of fixed-event windows, for the windowing study")
         if name in ("benchmark", "stability", "ablation", "toy"):
             c.add_argument("--limit", type=int)
             c.add_argument("--seeds", type=lambda v: tuple(int(x) for x in v.split(",")))
@@ -52,8 +65,8 @@ def _config(args: argparse.Namespace) -> tuple[pipeline.Config, str]:
     return dataclasses.replace(config, **changes), document.get("data_root", "data")
 
 
-def _events(spark: SparkSession, root: str) -> DataFrame:
-    return ingest.read_events(spark, f"{root}/events").withColumn("event_id", F.xxhash64("file_name", "row_no"))
+def _events(spark: SparkSession, root: str, max_files: int | None) -> DataFrame:
+    return ingest.read_events(spark, f"{root}/events", max_files=max_files).withColumn("event_id", F.xxhash64("file_name", "row_no"))
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
@@ -69,13 +82,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     config, root = _config(args)
     if args.command == "preprocess":
         raw = {c: f"{args.raw_dir}/{c}.txt" for c in ingest.CONVERTERS}
-        print(json.dumps(pipeline.preprocess(spark, raw, root, args.rows_per_part), indent=2))
+        skip = [x for x in ("prepare", "clean", "vocabulary") if getattr(args, f"skip_{x}")]
+        include = [x for x in ingest.OPTIONAL if getattr(args, f"include_{x}")]
+        print(json.dumps(pipeline.preprocess(spark, raw, root, args.rows_per_part, args.quads_dir, args.cleaned_dir, include, skip, args.strict), indent=2))
         return
-    events, store = _events(spark, root), f"{config.output}/windows.parquet"
+    events, store = _events(spark, root, args.max_files), f"{config.output}/windows.parquet"
     if args.command == "windows":
-        found = pipeline.build_windows(events, config, args.kind, args.events_per_window)
+        found = pipeline.build_windows(events, config, args.kind, args.events_per_window, args.categories, args.strict)
         found.write.mode("overwrite").parquet(store)
-        scanned = events.filter(F.col("event_category") == "AUTH").count()
+        scanned = events.filter(F.col("event_category").isin(*args.categories)).count()
         ingest.save_json(windows_document(found, args.kind, dataclasses.asdict(config.thresholds), scanned), f"{config.output}/windows.json")
         Path(config.output, "windows.md").write_text(windows_markdown(found) + "\n")
         return
@@ -84,16 +99,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     ports = [(k, int(p)) for p, k in stored["port_index"].items()] if stored else []
     vocabulary = spark.createDataFrame(ports, "port_idx int, port bigint") if ports else None
     if args.command == "stats":
-        ingest.save_json(pipeline.window_report(found, config.pivots), f"{config.output}/window_stats.json")
+        report = pipeline.window_report(found, config.pivots)
+        ingest.save_json(report, f"{config.output}/window_stats.json")
+        Path(config.output, "window_stats.md").write_text(pipeline.report_markdown(report, found.count(), found.filter("has_attack").count()) + "\n")
     elif args.command == "benchmark":
-        results, summary = pipeline.benchmark(events, found, config, vocabulary)
-        ingest.save_json({"windows": [r.asDict() for r in results.collect()], "summary": summary.first().asDict()}, f"{config.output}/benchmark.json")
+        results, summary, failed = pipeline.benchmark(events, found, config, vocabulary)
+        ingest.save_json({"windows": [r.asDict() for r in results.collect()], "summary": summary.first().asDict(), "failed": [r.asDict() for r in failed.collect()]}, f"{config.output}/benchmark.json")
     elif args.command == "stability":
         reports = pipeline.stability(events, found, config, vocabulary)
         for name, frame in reports.items():
             (frame.drop("embedding") if "embedding" in frame.columns else frame).write.mode("overwrite").parquet(f"{config.output}/stability_{name}.parquet")
     else:
-        pipeline.ablation(events, found, config, vocabulary).write.mode("overwrite").parquet(f"{config.output}/ablation.parquet")
+        fixed = spark.read.parquet(f"{args.fixed_windows}/windows.parquet") if args.fixed_windows else None
+        pipeline.ablation(events, found, config, vocabulary, fixed).write.mode("overwrite").parquet(f"{config.output}/ablation.parquet")
 
 
 if __name__ == "__main__":

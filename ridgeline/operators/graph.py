@@ -19,6 +19,8 @@ KNOWN_PROTOCOLS = ("NTLM", "Kerberos", "Negotiate")
 DEFAULT_PORTS = (445, 389, 80, 88, 139, 135, 443, 22, 1433, 2049, 111, 161, 7002, 6002, 137, 3306, 1241, 8080, 8081, 1094, 427, 53, 2989, 2432, 1300, 3493, 2000, 1434, 1109, 2010)
 
 SLICES, LEAST_CATEGORY = 4, 5
+# Fixed value: weight of the one feature that is no category.
+LOG_COUNT_WEIGHT = 0.5
 PAIR = ("window_idx", "source_entity", "destination_entity")
 
 
@@ -66,6 +68,31 @@ def sliced(placed: DataFrame, windows: DataFrame, slices: int = SLICES) -> DataF
     return placed.join(span, "window_idx").withColumn("slice", slot).filter(F.col("slice") < slices).drop("ts_start", "ts_end")
 
 
+def pair_cells(placed: DataFrame, windows: DataFrame, slices: int = SLICES, auth: bool = False) -> DataFrame:
+    """(window_idx, slice, source_entity, destination_entity, cnt): all that edges and nodes need of the placed events.
+
+    ``slice`` is null for events in none, whose hosts still are nodes.  With ``auth`` the auth features of the events
+    come too, so that one exchange of partial counts serves edges, nodes and features.
+    """
+    span = windows.filter(F.col("ts_end") > F.col("ts_start")).select(F.col("idx").alias("window_idx"), "ts_start", "ts_end")
+    width = (F.col("ts_end") - F.col("ts_start")) / F.lit(float(slices))
+    slot = F.lit(0)
+    for j in range(1, slices + 1):
+        slot = slot + (F.col("ts") >= F.col("ts_start") + (F.lit(j) * width).cast("bigint")).cast("int")
+    cut = placed.join(span, "window_idx", "left").withColumn("slice", F.when(slot < slices, slot))
+    return cut.groupBy("window_idx", "slice", "source_entity", "destination_entity").agg(F.count(F.lit(1)).alias("cnt"), *(_auth_flags() if auth else []))
+
+
+def cell_edges(cells: DataFrame) -> DataFrame:
+    """Slice edges of pair cells."""
+    return cells.filter(F.col("slice").isNotNull()).select("window_idx", "slice", "source_entity", "destination_entity", "cnt")
+
+
+def cell_auth_features(cells: DataFrame) -> DataFrame:
+    """The auth features of every pair, from pair cells that hold them."""
+    return cells.groupBy(*PAIR).agg(F.lit(1.0).alias("is_auth"), *[F.max(n).alias(n) for n in AUTH_FEATURES[1:]])
+
+
 def slice_edges(cut: DataFrame) -> DataFrame:
     return cut.groupBy("window_idx", "slice", "source_entity", "destination_entity").agg(F.count(F.lit(1)).alias("cnt"))
 
@@ -91,12 +118,16 @@ def window_edges(edges: DataFrame, slices: int = SLICES) -> DataFrame:
     return wide.select(*PAIR, "cnt", *[(F.col(f"c{j}") > 0).cast("double").alias(f"occ_{j}") for j in range(slices)], *[F.log1p(f"c{j}").alias(f"mcount_{j}") for j in range(slices)])
 
 
-def auth_features(placed: DataFrame) -> DataFrame:
-    """The auth features of every pair, from the status and protocol of its events (damaged details count as unknown)."""
+def _auth_flags() -> list[Column]:
     status, protocol = detail_field(F.col("event_detail"), "status", "?"), detail_field(F.col("event_detail"), "protocol", "?")
     flag = lambda c: F.max(c.cast("int")).cast("double")
     known = [flag(protocol == p).alias(f"proto_{p}") for p in KNOWN_PROTOCOLS]
-    return placed.groupBy(*PAIR).agg(F.lit(1.0).alias("is_auth"), flag(status == "Success").alias("status_success"), *known, flag(~protocol.isin(*KNOWN_PROTOCOLS)).alias("proto_unknown"))
+    return [flag(status == "Success").alias("status_success"), *known, flag(~protocol.isin(*KNOWN_PROTOCOLS)).alias("proto_unknown")]
+
+
+def auth_features(placed: DataFrame) -> DataFrame:
+    """The auth features of every pair, from the status and protocol of its events (damaged details count as unknown)."""
+    return placed.groupBy(*PAIR).agg(F.lit(1.0).alias("is_auth"), *_auth_flags())
 
 
 def port_features(flows: DataFrame, vocabulary: DataFrame, size: int = 30) -> DataFrame:
@@ -177,20 +208,29 @@ def feature_counts(features: DataFrame, names: Sequence[str]) -> DataFrame:
     return sums.select("window_idx", "n_edges", long).select("window_idx", "f.feature", "f.cnt", "n_edges")
 
 
+def _with_count(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Rows of the binary features, and one for log_count in every window."""
+    return rows.unionByName(rows.select("window_idx").distinct().select("window_idx", F.lit("log_count").alias("feature"), value.alias(name)))
+
+
 def ief_weights(counts: DataFrame) -> DataFrame:
-    """(window_idx, feature, weight): 1 / sqrt(frequency), a feature counting at least once, over the window's mean."""
+    """(window_idx, feature, weight): 1 / sqrt(frequency), a feature counting at least once, over the window's mean.
+
+    log_count, which is no category, has the fixed weight LOG_COUNT_WEIGHT.
+    """
     raw = F.lit(1.0) / F.sqrt(F.greatest("cnt", F.lit(1.0)) / F.col("n_edges"))
-    return counts.withColumn("raw", raw).select("window_idx", "feature", (F.col("raw") / F.avg("raw").over(Window.partitionBy("window_idx"))).alias("weight"))
+    rows = counts.withColumn("raw", raw).select("window_idx", "feature", (F.col("raw") / F.avg("raw").over(Window.partitionBy("window_idx"))).alias("weight"))
+    return _with_count(rows, "weight", F.lit(LOG_COUNT_WEIGHT))
 
 
 def category_mask(counts: DataFrame, least: int = LEAST_CATEGORY) -> DataFrame:
-    """(window_idx, feature, active): features that enough edges have."""
-    return counts.select("window_idx", "feature", (F.col("cnt") >= least).cast("int").alias("active"))
+    """(window_idx, feature, active): features that enough edges have; log_count always is active."""
+    return _with_count(counts.select("window_idx", "feature", (F.col("cnt") >= least).cast("int").alias("active")), "active", F.lit(1))
 
 
 def active_categories(counts: DataFrame, least: int = LEAST_CATEGORY) -> DataFrame:
-    """(window_idx, active, total, ratio)."""
-    return category_mask(counts, least).groupBy("window_idx").agg(F.sum("active").alias("active"), F.count(F.lit(1)).alias("total"), F.avg("active").alias("ratio"))
+    """(window_idx, active, total, ratio) of the binary features."""
+    return category_mask(counts, least).filter(F.col("feature") != "log_count").groupBy("window_idx").agg(F.sum("active").alias("active"), F.count(F.lit(1)).alias("total"), F.avg("active").alias("ratio"))
 
 
 def occupancy_report(edges: DataFrame, slices: int = SLICES) -> DataFrame:

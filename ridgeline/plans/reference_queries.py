@@ -13,6 +13,7 @@ from ridgeline.operators import evaluate, graph, model, rank, windows
 from ridgeline.operators.features import once
 from ridgeline.operators.quads import parse_quads
 from ridgeline.plans.core_problems import _QUADS, sql_entity
+from ridgeline.session import cut_lineage
 from ridgeline.sources import ingest
 from ridgeline.sources.tables import table
 
@@ -101,14 +102,15 @@ _SCORED = _ALPHA + """,
 sc AS (SELECT al.window_idx, al.node, al.out_deg, al.score_alpha AS score, coalesce(p.label, 0) AS label FROM al LEFT JOIN (SELECT DISTINCT idx AS window_idx, unnest(attack_pivots) AS node, 1 AS label FROM wi) p ON al.window_idx = p.window_idx AND al.node = p.node)"""
 
 
-def _stream(spark: SparkSession, folder: str, category: str | None = None) -> DataFrame:
-    """Clean events: each id once as first delivered, with a time and both entities."""
+def _stream(spark: SparkSession, folder: str, category: str | None = None, detail: bool = True) -> DataFrame:
+    """Clean events: each id once as first delivered, with a time and both entities; only AUTH and FLOW need ``detail``."""
+    more = ["event_type", "event_detail"] if detail else ["event_type"]
     raw = table(spark, folder, "unified_event").select(
-        "event_id", "ts", entity(F.col("source_entity")).alias("source_entity"), entity(F.col("destination_entity")).alias("destination_entity"), "event_category", "event_type", "event_detail", "loaded_at"
+        "event_id", "ts", entity(F.col("source_entity")).alias("source_entity"), entity(F.col("destination_entity")).alias("destination_entity"), "event_category", *more, "loaded_at"
     )
     if category is not None:
         raw = raw.filter(F.col("event_category") == category)
-    kept = once(raw, "event_id", "loaded_at", ["event_id", "ts", "source_entity", "destination_entity", "event_category", "event_type", "event_detail"])
+    kept = once(raw, "event_id", "loaded_at", ["event_id", "ts", "source_entity", "destination_entity", "event_category", *more])
     return kept.filter(F.col("ts").isNotNull() & F.col("source_entity").isNotNull() & F.col("destination_entity").isNotNull())
 
 
@@ -116,20 +118,32 @@ def _info(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "window_info").filter(F.col("kind") == "adaptive").select("idx", "ts_start", "ts_end", "attack_pivots")
 
 
-def _placed(spark: SparkSession, folder: str, category: str = "AUTH") -> DataFrame:
-    return windows.window_events(_stream(spark, folder, category), _info(spark, folder))
+def _placed(spark: SparkSession, folder: str, category: str = "AUTH", detail: bool = False) -> DataFrame:
+    return windows.window_events(_stream(spark, folder, category, detail), _info(spark, folder))
 
 
 def _slice_edges(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.slice_edges(graph.sliced(_placed(spark, folder).select("window_idx", "ts", "source_entity", "destination_entity"), _info(spark, folder)))
+    return graph.cell_edges(graph.pair_cells(_placed(spark, folder), _info(spark, folder)))
 
 
 def _edges(spark: SparkSession, folder: str) -> DataFrame:
     return graph.window_edges(_slice_edges(spark, folder))
 
 
+def _graph(spark: SparkSession, folder: str, features: bool = False) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Nodes with degrees, edges, and edges with features if wanted; events are read and deduplicated once."""
+    cells = cut_lineage(graph.pair_cells(_placed(spark, folder, detail=features), _info(spark, folder), auth=features))
+    edges = graph.window_edges(graph.cell_edges(cells))
+    nodes = graph.node_degrees(graph.window_nodes(cells), edges)
+    if not features:
+        return nodes, edges, None
+    flows = cut_lineage(_stream(spark, folder, "FLOW").select(*ORDER, "source_entity", "destination_entity", "event_detail"))
+    ports = graph.port_features(windows.window_events(flows, _info(spark, folder)), graph.port_vocabulary(flows, ORDER))
+    return nodes, edges, graph.edge_features(edges.select(*graph.PAIR, "cnt"), graph.cell_auth_features(cells), ports)
+
+
 def _nodes(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.node_degrees(graph.window_nodes(_placed(spark, folder)), _edges(spark, folder))
+    return _graph(spark, folder)[0]
 
 
 def _vocabulary(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,11 +151,12 @@ def _vocabulary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _ports(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.port_features(_placed(spark, folder, "FLOW"), _vocabulary(spark, folder))
+    flows = cut_lineage(_stream(spark, folder, "FLOW").select(*ORDER, "source_entity", "destination_entity", "event_detail"))
+    return graph.port_features(windows.window_events(flows, _info(spark, folder)), graph.port_vocabulary(flows, ORDER))
 
 
 def _features(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.edge_features(_edges(spark, folder).select(*graph.PAIR, "cnt"), graph.auth_features(_placed(spark, folder)), _ports(spark, folder))
+    return _graph(spark, folder, True)[2]
 
 
 def _counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -152,6 +167,11 @@ def _peak(spark: SparkSession, folder: str) -> DataFrame:
     return graph.peak_acp(graph.slice_degrees(_slice_edges(spark, folder)))
 
 
+def _rarity(spark: SparkSession, folder: str, top: int = 1) -> DataFrame:
+    nodes, _, features = _graph(spark, folder, True)
+    return rank.rarity_scores(nodes, rank.edge_rarity(features, _NAMES), top)
+
+
 def _quads(spark: SparkSession, folder: str, source: str | None = None) -> DataFrame:
     good = parse_quads(table(spark, folder, "quad_raw").select("line_id", "line")).filter(F.col("reason").isNull()).drop("reason", "rejected")
     return good if source is None else good.filter(F.col("source_file") == source)
@@ -163,10 +183,14 @@ def _scored(spark: SparkSession, folder: str) -> DataFrame:
     return scores.join(graph.labels(nodes, _info(spark, folder)), ["window_idx", "node"])
 
 
-def _stable(spark: SparkSession, folder: str) -> DataFrame:
+def _usable(spark: SparkSession, folder: str) -> DataFrame:
     runs = table(spark, folder, "run_nonattack").select("window_idx", entity(F.col("host")).alias("node"), "score", "out_deg")
     usable = runs.filter((F.col("score") >= 0) & (F.col("score") <= 1) & F.col("node").isNotNull() & F.col("window_idx").isNotNull() & (F.col("out_deg") > 0))
-    return evaluate.top_candidates(usable.groupBy("window_idx", "node").agg(F.max("score").alias("score"), F.max("out_deg").alias("out_deg")))
+    return usable.groupBy("window_idx", "node").agg(F.max("score").alias("score"), F.max("out_deg").alias("out_deg"))
+
+
+def _stable(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluate.top_candidates(_usable(spark, folder))
 
 
 # ---- scalar functions --------------------------------------------------------------------------------------------
@@ -204,10 +228,10 @@ def auth_actions(spark: SparkSession, folder: str) -> DataFrame:
 @_register(f"""WITH t AS (SELECT DISTINCT event_type FROM unified_event WHERE event_category = 'FLOW'), m AS (SELECT event_type, regexp_matches(coalesce(event_type, ''), {_FLOW_RE}) AS ok FROM t),
 f AS (SELECT event_type, {', '.join(f"CASE WHEN ok THEN regexp_extract(event_type, {_FLOW_RE}, {k}) END AS {n}" for k, n in enumerate(('protocol', 'src_port', 'dst_port'), 1))}, CASE WHEN NOT ok THEN coalesce(event_type, '') END AS raw FROM m)
 SELECT *, coalesce(protocol = '17' AND dst_port IN ('137', '138', '123'), false) AS noise,
-    len(list_filter([try_cast(regexp_extract(src_port, '^[0-9]+$') AS BIGINT), try_cast(regexp_extract(dst_port, '^[0-9]+$') AS BIGINT)], lambda x: x IS NOT NULL)) AS ports FROM f""")
+    array_to_string(list_filter([try_cast(regexp_extract(src_port, '^[0-9]+$') AS BIGINT), try_cast(regexp_extract(dst_port, '^[0-9]+$') AS BIGINT)], lambda x: x IS NOT NULL), ',') AS ports FROM f""")
 def flow_actions(spark: SparkSession, folder: str) -> DataFrame:
     parts = _types(spark, folder, "FLOW").select("event_type", *[c.alias(n) for n, c in parsers.flow_fields(F.col("event_type")).items()])
-    return parts.withColumn("noise", parsers.is_noise_flow(F.col("event_type"))).withColumn("ports", F.size(parsers.service_ports(F.col("src_port"), F.col("dst_port"))).cast("bigint"))
+    return parts.withColumn("noise", parsers.is_noise_flow(F.col("event_type"))).withColumn("ports", F.array_join(F.transform(parsers.service_ports(F.col("src_port"), F.col("dst_port")), lambda x: x.cast("string")), ","))
 
 
 @_register("""SELECT DISTINCT event_category, event_type, CASE WHEN position('Process_' IN coalesce(event_type, '')) > 0 THEN left(event_type, position('Process_' IN event_type) - 1) || substring(event_type, position('Process_' IN event_type) + 8) ELSE coalesce(event_type, '') END AS action,
@@ -226,17 +250,27 @@ def _raw_lines(spark: SparkSession, folder: str, category: str, *fields: str) ->
     return events.select(F.expr(f"concat_ws(',', {', '.join(fields)})").alias("value"))
 
 
-@_register("""SELECT ts::VARCHAR AS timestamp, 'U' || event_id || '@DOM1|' || source_entity AS src_node, destination_entity AS dst_node, 'LogOn_Success_Network_NTLM' AS action_state, 'auth' AS source_file
-FROM unified_event WHERE event_category = 'AUTH' AND source_entity IS NOT NULL AND destination_entity IS NOT NULL AND ts IS NOT NULL""")
+# fields that follow from the event's number, the same text in both languages
+_PROTOCOL = "CASE event_id % 3 WHEN 0 THEN 'NTLM' WHEN 1 THEN 'Kerberos' ELSE '?' END"
+_STATUS = "CASE event_id % 2 WHEN 0 THEN 'Success' ELSE 'Failure' END"
+_KIND = "CASE event_id % 5 WHEN 0 THEN 'LogOff' WHEN 1 THEN 'TGS' ELSE 'LogOn' END"
+_SRC_PORT = "CASE event_id % 4 WHEN 0 THEN '445' WHEN 1 THEN '137' ELSE 'N12' END"
+_DST_PORT = "CASE event_id % 7 WHEN 0 THEN '137' WHEN 1 THEN '88' ELSE 'N7' END"
+_NUMBER = "CASE event_id % 2 WHEN 0 THEN '6' ELSE '17' END"
+_COMPLETE = "source_entity IS NOT NULL AND destination_entity IS NOT NULL AND ts IS NOT NULL"
+
+
+@_register(f"""SELECT ts::VARCHAR AS timestamp, 'U' || event_id || '@DOM1|' || source_entity AS src_node, destination_entity AS dst_node,
+    ({_KIND}) || '_' || ({_STATUS}) || '_Network_' || ({_PROTOCOL}) AS action_state, 'auth' AS source_file FROM unified_event WHERE event_category = 'AUTH' AND {_COMPLETE}""")
 def raw_auth_convert(spark: SparkSession, folder: str) -> DataFrame:
-    lines = _raw_lines(spark, folder, "AUTH", "ts", "concat('U', event_id, '@DOM1')", "'U0@DOM1'", "source_entity", "destination_entity", "'NTLM'", "'Network'", "'LogOn'", "'Success'")
+    lines = _raw_lines(spark, folder, "AUTH", "ts", "concat('U', event_id, '@DOM1')", "'U0@DOM1'", "source_entity", "destination_entity", _PROTOCOL, "'Network'", _KIND, _STATUS)
     return ingest.convert_raw(lines, "auth")
 
 
-@_register("""SELECT ts::VARCHAR AS timestamp, source_entity AS src_node, destination_entity AS dst_node, 'NetFlow_6_445>N7' AS action_state, 'flows' AS source_file
-FROM unified_event WHERE event_category = 'FLOW' AND source_entity IS NOT NULL AND destination_entity IS NOT NULL AND ts IS NOT NULL""")
+@_register(f"""SELECT ts::VARCHAR AS timestamp, source_entity AS src_node, destination_entity AS dst_node, 'NetFlow_' || ({_NUMBER}) || '_' || ({_SRC_PORT}) || '>' || ({_DST_PORT}) AS action_state, 'flows' AS source_file
+FROM unified_event WHERE event_category = 'FLOW' AND {_COMPLETE}""")
 def raw_flow_convert(spark: SparkSession, folder: str) -> DataFrame:
-    return ingest.convert_raw(_raw_lines(spark, folder, "FLOW", "ts", "0", "source_entity", "445", "destination_entity", "'N7'", "6"), "flows")
+    return ingest.convert_raw(_raw_lines(spark, folder, "FLOW", "ts", "event_id", "source_entity", _SRC_PORT, "destination_entity", _DST_PORT, _NUMBER), "flows")
 
 
 @_register("""SELECT ts::VARCHAR AS timestamp, 'U' || event_id || '@DOM1' AS src_node, destination_entity AS dst_node, 'RedTeam_via_' || source_entity AS action_state, 'redteam' AS source_file
@@ -253,32 +287,54 @@ _MACHINE = _norm("CASE WHEN contains(src_node, '|') THEN substring(src_node, pos
 _CLEAN = "timestamp, try_cast(timestamp AS BIGINT) AS ts, {s} AS source_entity, {d} AS destination_entity, '{c}' AS event_category, action_state AS event_type"
 
 
-@_register(f"WITH {_QUADS} SELECT {_CLEAN.format(s=_MACHINE, d=_norm('dst_node'), c='AUTH')}, CASE WHEN regexp_matches(action_state, {_AUTH_RE}) THEN regexp_extract(action_state, {_AUTH_RE}, 2) END AS status FROM judged WHERE reason IS NULL AND source_file = 'auth'")
+def _parts(form: str, names: tuple[str, ...]) -> str:
+    """The parts of an action as the detail has them; an action of another form is kept raw."""
+    whole = f"regexp_matches(action_state, {form})"
+    parts = [f"CASE WHEN {whole} THEN regexp_extract(action_state, {form}, {k}) END AS detail_{n}" for k, n in enumerate(names, 1)]
+    return ", ".join([*parts, f"CASE WHEN NOT {whole} THEN action_state END AS detail_raw"])
+
+
+def _details(events: DataFrame, *names: str) -> DataFrame:
+    return events.withColumns({f"detail_{n}": parsers.detail_field(F.col("event_detail"), n) for n in names}).drop("event_detail")
+
+
+_AUTH_NAMES, _FLOW_NAMES = ("action_category", "status", "subtype", "protocol"), ("protocol", "src_port", "dst_port")
+_LEFT = "split_part(src_node, '|', 1)"
+_ACCOUNT = rf"""CASE WHEN NOT contains(src_node, '|') THEN '' WHEN contains({_LEFT}, '@') THEN regexp_extract({_LEFT}, '(?s)^(.*)@[^@]*$', 1) ELSE {_LEFT} END AS detail_account,
+    CASE WHEN contains(src_node, '|') THEN regexp_extract({_LEFT}, '(?s)@([^@]*)$', 1) ELSE '' END AS detail_account_domain, {_MACHINE} AS detail_source_machine_raw"""
+
+
+@_register(f"WITH {_QUADS} SELECT {_CLEAN.format(s=_MACHINE, d=_norm('dst_node'), c='AUTH')}, {_parts(_AUTH_RE, _AUTH_NAMES)}, {_ACCOUNT} FROM judged WHERE reason IS NULL AND source_file = 'auth'")
 def clean_auth(spark: SparkSession, folder: str) -> DataFrame:
-    return ingest.clean_auth(_quads(spark, folder, "auth")).withColumn("status", parsers.detail_field(F.col("event_detail"), "status")).drop("event_detail")
+    return _details(ingest.clean_auth(_quads(spark, folder, "auth")), *_AUTH_NAMES, "raw", "account", "account_domain", "source_machine_raw")
 
 
-@_register(f"WITH {_QUADS} SELECT {_CLEAN.format(s=_norm('src_node'), d=_norm('dst_node'), c='FLOW')}, CASE WHEN regexp_matches(action_state, {_FLOW_RE}) THEN regexp_extract(action_state, {_FLOW_RE}, 3) END AS dst_port FROM judged WHERE reason IS NULL AND source_file = 'flows' AND NOT (regexp_matches(action_state, '^NetFlow_17_[^>]+>(137|138|123)$'))")
+@_register(f"WITH {_QUADS} SELECT {_CLEAN.format(s=_norm('src_node'), d=_norm('dst_node'), c='FLOW')}, {_parts(_FLOW_RE, _FLOW_NAMES)} FROM judged WHERE reason IS NULL AND source_file = 'flows' AND NOT (regexp_matches(action_state, '^NetFlow_17_[^>]+>(137|138|123)$'))")
 def clean_flows(spark: SparkSession, folder: str) -> DataFrame:
-    return ingest.clean_flows(_quads(spark, folder, "flows")).withColumn("dst_port", parsers.detail_field(F.col("event_detail"), "dst_port")).drop("event_detail")
+    return _details(ingest.clean_flows(_quads(spark, folder, "flows")), *_FLOW_NAMES, "raw")
 
 
-@_register(f"WITH {_QUADS} SELECT {_CLEAN.format(s=_norm('src_node'), d=_norm('dst_node'), c='DNS')} FROM judged WHERE reason IS NULL AND source_file = 'dns'")
+@_register(f"WITH {_QUADS} SELECT {_CLEAN.format(s=_norm('src_node'), d=_norm('dst_node'), c='DNS')}, 'DNS_Query' AS detail_query FROM judged WHERE reason IS NULL AND source_file = 'dns'")
 def clean_dns(spark: SparkSession, folder: str) -> DataFrame:
-    return ingest.clean_dns(_quads(spark, folder, "dns")).drop("event_detail")
+    return _details(ingest.clean_dns(_quads(spark, folder, "dns")), "query")
 
 
-@_register(f"WITH {_QUADS} SELECT {_CLEAN.format(s=_norm('src_node'), d=_norm('dst_node'), c='PROC')} FROM judged WHERE reason IS NULL AND source_file = 'proc' AND {_norm('src_node')} <> {_norm('dst_node')}")
+@_register(f"WITH {_QUADS} SELECT {_CLEAN.format(s=_norm('src_node'), d=_norm('dst_node'), c='PROC')}, replace(action_state, 'Process_', '') AS detail_action FROM judged WHERE reason IS NULL AND source_file = 'proc' AND {_norm('src_node')} <> {_norm('dst_node')}")
 def clean_proc(spark: SparkSession, folder: str) -> DataFrame:
-    return ingest.clean_proc(_quads(spark, folder, "proc")).drop("event_detail")
+    return _details(ingest.clean_proc(_quads(spark, folder, "proc")), "action")
 
 
-_PIVOT = "nullif(regexp_extract(action_state, 'RedTeam_via_(C[0-9]+)', 1), '')"
+_PIVOT = "nullif(regexp_extract(coalesce(action_state, ''), 'RedTeam_via_(C[0-9]+)', 1), '')"
 
 
-@_register(f"WITH {_QUADS} SELECT {_CLEAN.format(s=_norm(f'coalesce({_PIVOT}, src_node)'), d=_norm('dst_node'), c='ALERT')}, {_PIVOT} AS pivot FROM judged WHERE reason IS NULL AND source_file = 'redteam'")
+@_register(f"""WITH {_QUADS}, red AS (SELECT timestamp, src_node, dst_node, action_state FROM judged WHERE reason IS NULL AND source_file = 'redteam'
+    UNION ALL SELECT ts::VARCHAR, source_entity, destination_entity, event_type FROM unified_event WHERE event_category = 'ALERT')
+SELECT {_CLEAN.format(s=_norm(f'coalesce({_PIVOT}, src_node)'), d=_norm('dst_node'), c='ALERT')}, {_PIVOT} AS detail_pivot_machine, CASE WHEN {_PIVOT} IS NULL THEN coalesce(action_state, '') END AS detail_raw FROM red""")
 def clean_redteam(spark: SparkSession, folder: str) -> DataFrame:
-    return ingest.clean_redteam(_quads(spark, folder, "redteam")).withColumn("pivot", parsers.detail_field(F.col("event_detail"), "pivot_machine")).drop("event_detail")
+    """Alert lines of the quads, and quads made of the alerts among the events."""
+    alerts = table(spark, folder, "unified_event").filter(F.col("event_category") == "ALERT").select(F.col("ts").cast("string").alias("timestamp"), F.col("source_entity").alias("src_node"), F.col("destination_entity").alias("dst_node"), F.col("event_type").alias("action_state"))
+    lines = _quads(spark, folder, "redteam").select("timestamp", "src_node", "dst_node", "action_state")
+    return _details(ingest.clean_redteam(lines.unionByName(alerts)), "pivot_machine", "raw")
 
 
 @_register(f"""WITH {_QUADS}, c AS (SELECT source_file, count(*) AS total_in, count(*) FILTER (WHERE source_file = 'flows' AND regexp_matches(action_state, '^NetFlow_17_[^>]+>(137|138|123)$')) AS noise_filtered,
@@ -301,7 +357,7 @@ p AS (SELECT pos // 700 AS idx, min(ts) AS ts_start, max(ts) AS ts_end, count(*)
 t AS (SELECT idx - 1 AS idx, ts_end AS tail_end FROM p WHERE m < 700)
 SELECT idx, ts_start, coalesce(tail_end, ts_end) AS ts_end, m, tail_end IS NOT NULL AS is_merged_tail FROM (SELECT * FROM p WHERE m = 700) LEFT JOIN t USING (idx)""")
 def fixed_event_windows(spark: SparkSession, folder: str) -> DataFrame:
-    return windows.fixed_event_windows(_stream(spark, folder, "AUTH"), 700, ORDER)
+    return windows.fixed_event_windows(_stream(spark, folder, "AUTH", False), 700, ORDER)
 
 
 def _adaptive_sql(m: int, e: int, vs: int, vd: int, tail: str) -> str:
@@ -319,7 +375,7 @@ FROM wins w JOIN vt ON w.idx = vt.idx LEFT JOIN tl t ON t.idx = w.idx + 1 WHERE
 
 
 def _adaptive(m: int, e: int, vs: int, vd: int, **tail: object) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, folder: windows.adaptive_windows(_stream(spark, folder, "AUTH"), windows.Thresholds(m, e, vs, vd), ORDER, **tail)
+    return lambda spark, folder: windows.adaptive_windows(_stream(spark, folder, "AUTH", False), windows.Thresholds(m, e, vs, vd), ORDER, **tail)
 
 
 for _name, _args, _tail, _options in (
@@ -354,7 +410,7 @@ ann AS (SELECT wi.idx, ts_start, ts_end, coalesce(n, 0) AS attack_event_count, n
 
 
 def _annotated(spark: SparkSession, folder: str) -> DataFrame:
-    alerts = _stream(spark, folder, "ALERT").select(F.col("event_id").alias("alert_id"), "ts", parsers.pivot_machine(F.col("event_type")).alias("pivot")).filter(F.col("pivot").isNotNull())
+    alerts = _stream(spark, folder, "ALERT", False).select(F.col("event_id").alias("alert_id"), "ts", parsers.pivot_machine(F.col("event_type")).alias("pivot")).filter(F.col("pivot").isNotNull())
     return windows.annotate_attacks(_info(spark, folder), alerts)
 
 
@@ -415,7 +471,7 @@ def window_degrees(spark: SparkSession, folder: str) -> DataFrame:
 
 @_register(f"WITH {_PLACED}, {_AUTH} SELECT window_idx, src AS source_entity, dst AS destination_entity, 1.0::DOUBLE AS is_auth, * EXCLUDE (window_idx, src, dst) FROM au")
 def auth_features(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.auth_features(_placed(spark, folder))
+    return graph.auth_features(_placed(spark, folder, detail=True))
 
 
 @_register(f"WITH {_STREAM}, {_PORTS} SELECT window_idx, src AS source_entity, dst AS destination_entity, * EXCLUDE (window_idx, src, dst) FROM po")
@@ -444,12 +500,12 @@ def degree_targets(spark: SparkSession, folder: str) -> DataFrame:
     return graph.degree_targets(_nodes(spark, folder)).withColumns({c: _r(c) + F.lit(0.0) for c in ("t_in", "t_out")})
 
 
-@_register(f"WITH {_COUNTS} SELECT window_idx, feature, round(r / avg(r) OVER (PARTITION BY window_idx), 6) AS weight FROM (SELECT *, 1 / sqrt(greatest(cnt, 1) / n_edges) AS r FROM fc)")
+@_register(f"WITH {_COUNTS} SELECT window_idx, feature, round(r / avg(r) OVER (PARTITION BY window_idx), 6) AS weight FROM (SELECT *, 1 / sqrt(greatest(cnt, 1) / n_edges) AS r FROM fc) UNION ALL SELECT DISTINCT window_idx, 'log_count', 0.5 FROM fc")
 def ief_weights(spark: SparkSession, folder: str) -> DataFrame:
     return graph.ief_weights(_counts(spark, folder)).withColumn("weight", _r("weight"))
 
 
-@_register(f"WITH {_COUNTS} SELECT window_idx, feature, (cnt >= 5)::INT AS active FROM fc")
+@_register(f"WITH {_COUNTS} SELECT window_idx, feature, (cnt >= 5)::INT AS active FROM fc UNION ALL SELECT DISTINCT window_idx, 'log_count', 1 FROM fc")
 def category_mask(spark: SparkSession, folder: str) -> DataFrame:
     return graph.category_mask(_counts(spark, folder))
 
@@ -476,35 +532,47 @@ def structural_scores(spark: SparkSession, folder: str) -> DataFrame:
 @_register(f"""WITH {_RARITY}, b AS (SELECT n.window_idx, n.node, coalesce(max(rarity), 0) AS rarity FROM nd n LEFT JOIN ra ON n.window_idx = ra.window_idx AND n.node = ra.src GROUP BY ALL)
 SELECT window_idx, node, round(rarity, 6) AS rarity, round(row_number() OVER (PARTITION BY window_idx ORDER BY round(rarity, 9), node) / count(*) OVER (PARTITION BY window_idx), 6) AS score_beta FROM b""")
 def ief_rarity(spark: SparkSession, folder: str) -> DataFrame:
-    return rank.rarity_scores(_nodes(spark, folder), rank.edge_rarity(_features(spark, folder), _NAMES)).withColumns({c: _r(c) for c in ("rarity", "score_beta")})
+    return _rarity(spark, folder).withColumns({c: _r(c) for c in ("rarity", "score_beta")})
 
 
 @_register(f"""WITH {_RARITY}, k AS (SELECT window_idx, src AS node, avg(rarity) AS r FROM (SELECT *, row_number() OVER (PARTITION BY window_idx, src ORDER BY rarity DESC, dst) AS k FROM ra) WHERE k <= 3 GROUP BY ALL)
 SELECT n.window_idx, n.node, round(coalesce(r, 0), 6) AS rarity FROM nd n LEFT JOIN k ON n.window_idx = k.window_idx AND n.node = k.node""")
 def rarity_top3(spark: SparkSession, folder: str) -> DataFrame:
-    return rank.rarity_scores(_nodes(spark, folder), rank.edge_rarity(_features(spark, folder), _NAMES), 3).select("window_idx", "node", _r("rarity"))
-
-
-@_register(f"""WITH RECURSIVE {_STREAM}, ev AS (SELECT DISTINCT src, dst FROM st WHERE category = 'AUTH'), n AS (SELECT src AS node FROM ev UNION SELECT dst FROM ev), k AS (SELECT count(*) AS n FROM n), d AS (SELECT src, count(*) AS d FROM ev GROUP BY src),
-pr AS (SELECT 0 AS i, node, 1.0::DOUBLE / n AS r FROM n, k UNION ALL
-    SELECT step + 1, node, 0.15 / n + 0.85 * loose / n + 0.85 * got FROM (
-        SELECT n.node, coalesce(sum(p.r / d.d), 0) AS got FROM n LEFT JOIN ev ON ev.dst = n.node LEFT JOIN d ON d.src = ev.src LEFT JOIN pr p ON p.node = ev.src GROUP BY n.node) g, k,
-        (SELECT coalesce(sum(r), 0) AS loose FROM pr WHERE node NOT IN (SELECT src FROM d)) l, (SELECT max(i) AS step FROM pr) s WHERE s.step < 20)
-SELECT node, round(r, 9) AS pagerank FROM pr WHERE i = 20""")
-def pagerank_fixed_steps(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = _stream(spark, folder, "AUTH").select("source_entity", "destination_entity").distinct()
+    return _rarity(spark, folder, 3).select("window_idx", "node", _r("rarity"))
+
+
+def _rank_sql(edges: str, keys: str, nodes: str | None = None) -> str:
+    """PageRank by 120 steps of recursion, beyond which no rank moves in nine digits, from ``edges`` ev ({keys}src, dst)."""
+    k = lambda a: "".join(f"{a}.{x}, " for x in keys.split())
+    on = lambda a, b: "".join(f"{a}.{x} = {b}.{x} AND " for x in keys.split())
+    by = ", ".join(keys.split()) or "1::INT"
+    own = "".join(f"{x}, " for x in keys.split())
+    return f"""{edges}, n AS MATERIALIZED ({nodes or 'SELECT src AS node FROM ev UNION SELECT dst FROM ev'}), k AS MATERIALIZED (SELECT {own}count(*) AS n FROM n GROUP BY {by}),
+d AS MATERIALIZED (SELECT {own}src, count(*) AS d FROM ev GROUP BY {own}src), li AS MATERIALIZED (SELECT ev.*, d FROM ev JOIN d ON {on('ev', 'd')}ev.src = d.src),
+ba AS MATERIALIZED (SELECT n.*, k.n, d.d IS NULL AS loose FROM n JOIN k ON {on('n', 'k')}true LEFT JOIN d ON {on('n', 'd')}n.node = d.src),
+pr AS (SELECT 0 AS i, {own}node, 1.0::DOUBLE / n AS r FROM ba UNION ALL
+    SELECT i + 1, {k('b')}b.node, 0.15 / b.n + 0.85 * coalesce(l.loose, 0) / b.n + 0.85 * coalesce(g.got, 0) FROM ba b CROSS JOIN (SELECT max(i) AS i FROM pr) s
+    LEFT JOIN (SELECT {k('li')}li.dst, sum(p.r / li.d) AS got FROM li JOIN pr p ON {on('p', 'li')}p.node = li.src GROUP BY {k('li')}li.dst) g ON {on('g', 'b')}g.dst = b.node
+    LEFT JOIN (SELECT {k('b2')}sum(p.r) AS loose FROM pr p JOIN ba b2 ON {on('p', 'b2')}p.node = b2.node WHERE b2.loose{' GROUP BY ' + k('b2')[:-2] if keys else ''}) l ON {on('l', 'b')}true WHERE s.i < 120)
+SELECT {own}node, round(r, 6) AS pagerank FROM pr WHERE i = 120"""
+
+
+@_register(_rank_sql(f"WITH RECURSIVE {_STREAM}, ev AS MATERIALIZED (SELECT DISTINCT src, dst FROM st WHERE category = 'AUTH')", ""))
+def graph_pagerank(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole history as one graph, by joins, to a tolerance that settles six digits."""
+    pairs = _stream(spark, folder, "AUTH", False).select("source_entity", "destination_entity").distinct()
     nodes = pairs.select(F.explode(F.array("source_entity", "destination_entity")).alias("node")).distinct()
-    return rank.graph_pagerank(nodes, pairs, steps=20).select("node", F.round("pagerank", 9).alias("pagerank"))
+    return rank.graph_pagerank(nodes, cut_lineage(pairs), tolerance=1e-9).select("node", F.round("pagerank", 6).alias("pagerank"))
 
 
-@_register()
+@_register(_rank_sql("WITH RECURSIVE " + _EDGES + ", ev AS MATERIALIZED (SELECT window_idx, src, dst FROM ed)", "window_idx", "SELECT window_idx, node FROM nd"))
 def pagerank_windows(spark: SparkSession, folder: str) -> DataFrame:
-    return rank.window_pagerank(_nodes(spark, folder), _edges(spark, folder))
+    return rank.window_pagerank(*_graph(spark, folder)[:2], tolerance=1e-10).select("window_idx", "node", F.round("pagerank", 6).alias("pagerank"))
 
 
 @_register()
 def laplacian_positions(spark: SparkSession, folder: str) -> DataFrame:
-    return rank.laplacian_positions(_nodes(spark, folder), _edges(spark, folder))
+    return rank.laplacian_positions(*_graph(spark, folder)[:2])
 
 
 @_register(f"""WITH {_RARITY}, al AS (SELECT *, row_number() OVER (PARTITION BY window_idx ORDER BY out_deg / (in_deg + 1.0), node) / count(*) OVER (PARTITION BY window_idx) AS score_alpha FROM dg),
@@ -512,8 +580,8 @@ b AS (SELECT n.window_idx, n.node, coalesce(max(rarity), 0) AS rarity FROM nd n
 be AS (SELECT window_idx, node, row_number() OVER (PARTITION BY window_idx ORDER BY round(rarity, 9), node) / count(*) OVER (PARTITION BY window_idx) AS score_beta FROM b)
 SELECT window_idx, node, round((0.6 * score_alpha + 0.4 * score_beta) / 1.0, 6) AS score FROM al JOIN be USING (window_idx, node)""")
 def fused_score(spark: SparkSession, folder: str) -> DataFrame:
-    nodes = _nodes(spark, folder)
-    both = rank.asymmetry(nodes).join(rank.rarity_scores(nodes, rank.edge_rarity(_features(spark, folder), _NAMES)), ["window_idx", "node"]).withColumn("score_delta", F.lit(0.0))
+    nodes, _, features = _graph(spark, folder, True)
+    both = rank.asymmetry(nodes).join(rank.rarity_scores(nodes, rank.edge_rarity(features, _NAMES)), ["window_idx", "node"]).withColumn("score_delta", F.lit(0.0))
     return both.select("window_idx", "node", F.round(rank.fused(0.6, 0.4, 0.0, normalise=True), 6).alias("score"))
 
 
@@ -570,11 +638,28 @@ def top50_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.adjacent_jaccard(_stable(spark, folder)).withColumn("jaccard", _r("jaccard"))
 
 
-@_register(f"""WITH {_STABLE}, h AS (SELECT node FROM tp WHERE rn = 1 GROUP BY node), r AS (SELECT node, rank() OVER (PARTITION BY window_idx ORDER BY score DESC) AS rank FROM tp WHERE rn <= 200)
+@_register(f"""WITH {_STABLE}, h AS (SELECT node FROM tp WHERE rn = 1 GROUP BY node), r AS (SELECT node, rank() OVER (PARTITION BY window_idx ORDER BY score DESC) AS rank FROM tp)
 SELECT node, count(*) AS windows, trunc(median(rank))::INT AS median_rank, min(rank) AS best_rank FROM r JOIN h USING (node) GROUP BY node""")
 def leader_ranks(spark: SparkSession, folder: str) -> DataFrame:
-    top = _stable(spark, folder)
-    return evaluate.host_ranks(top, top.filter(F.col("rn") == 1)).withColumns(_long("best_rank"))
+    usable = _usable(spark, folder)
+    return evaluate.host_ranks(usable, evaluate.top_candidates(usable, 1)).withColumns(_long("best_rank"))
+
+
+@_register(f"""WITH {_STABLE} SELECT window_idx, round(avg(score), 6) AS ap_mean, round(stddev_pop(score), 6) AS ap_std, max(score) AS ap_best, min(score) AS ap_worst, count(*) AS n_seeds,
+    string_agg(round(score, 6)::VARCHAR, ',' ORDER BY node) AS per_seed FROM ho GROUP BY window_idx""")
+def seed_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """The summary over seeds, on stored scores: each host of a window stands for a seed."""
+    found = evaluate.seed_summary(_usable(spark, folder).select("window_idx", F.col("node").alias("seed"), F.col("score").alias("ap")))
+    listed = F.array_join(F.transform("per_seed", lambda x: F.round(x, 6).cast("string")), ",")
+    return found.withColumns({"ap_mean": _r("ap_mean"), "ap_std": _r("ap_std"), "per_seed": listed})
+
+
+@_register(f"""WITH {_STABLE}, w AS (SELECT DISTINCT window_idx FROM run_nonattack WHERE window_idx IS NOT NULL), s AS (SELECT window_idx, list(DISTINCT node) FILTER (WHERE node IS NOT NULL) AS a FROM w LEFT JOIN (SELECT * FROM tp WHERE rn <= 50) USING (window_idx) GROUP BY window_idx),
+p AS (SELECT coalesce(a, []) AS a, coalesce(lag(a) OVER (ORDER BY window_idx), []) AS b, row_number() OVER (ORDER BY window_idx) AS k FROM s)
+SELECT round(avg(coalesce(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0), 0)), 6) AS mean, count(*) AS pairs FROM p WHERE k > 1""")
+def top50_jaccard_mean(spark: SparkSession, folder: str) -> DataFrame:
+    every = table(spark, folder, "run_nonattack").select("window_idx").dropna().distinct()
+    return evaluate.overlap_summary(evaluate.adjacent_jaccard(_stable(spark, folder), windows=every)).withColumn("mean", _r("mean"))
 
 
 @_register("SELECT idx, ts_start, ts_end FROM window_info WHERE kind = 'adaptive' AND idx NOT IN (SELECT window_idx FROM run_nonattack WHERE window_idx IS NOT NULL)")
@@ -584,7 +669,8 @@ def unfinished_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 def _trained(spark: SparkSession, folder: str) -> DataFrame:
     """Fits of the reference's budget: 100 epochs for each of three seeds."""
-    return model.train_scores(graph.node_features(_nodes(spark, folder)), _features(spark, folder), _NAMES, seeds=(42, 123, 456))
+    nodes, _, features = _graph(spark, folder, True)
+    return model.train_scores(graph.node_features(nodes), features, _NAMES, seeds=(42, 123, 456))
 
 
 @_register()
@@ -599,6 +685,15 @@ def benchmark_summary(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.seed_summary(evaluate.average_precision(labelled, ("window_idx", "seed")))
 
 
+@_register(f"""WITH {_SCORED}, b AS (SELECT window_idx, coalesce(avg(CASE WHEN label = 1 THEN h / rn END), 0) AS ap FROM (SELECT *, sum(label) OVER w AS h, row_number() OVER w AS rn FROM sc WINDOW w AS (PARTITION BY window_idx ORDER BY score DESC, node ROWS UNBOUNDED PRECEDING)) GROUP BY 1),
+c AS (SELECT window_idx, coalesce(avg(CASE WHEN label = 1 THEN h / rn END), 0) AS ap FROM (SELECT *, sum(label) OVER w AS h, row_number() OVER w AS rn FROM sc WINDOW w AS (PARTITION BY window_idx ORDER BY score, node ROWS UNBOUNDED PRECEDING)) GROUP BY 1)
+SELECT count(*) AS n, round(avg(b.ap - c.ap), 6) AS mean, true AS inside FROM b JOIN c USING (window_idx)""")
+def bootstrap_mean(spark: SparkSession, folder: str) -> DataFrame:
+    """The mean difference, and whether it lies in its bootstrap interval."""
+    row = bootstrap_interval(spark, folder)
+    return row.select("n", _r("mean"), ((F.col("low") <= F.col("mean")) & (F.col("mean") <= F.col("high"))).alias("inside"))
+
+
 @_register()
 def bootstrap_interval(spark: SparkSession, folder: str) -> DataFrame:
     scored = _scored(spark, folder)

@@ -16,8 +16,9 @@ from ridgeline.functions.parsers import auth_fields, flow_fields, is_noise_flow,
 QUAD_COLUMNS = ("timestamp", "src_node", "dst_node", "action_state", "source_file")
 QUAD_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in QUAD_COLUMNS])
 EVENT_COLUMNS = ("timestamp", "ts", "source_entity", "destination_entity", "event_category", "event_type", "event_detail")
-# Folder of each category's events, and the order in which categories are read.
-CATEGORY_FOLDERS = {"AUTH": "auth", "FLOW": "flows", "DNS": "dns", "PROC": "proc", "ALERT": "redteam"}
+# The order in which categories are read from storage, and the logs that are cleaned only on demand.
+CATEGORIES = ("AUTH", "FLOW", "DNS", "PROC", "ALERT")
+OPTIONAL = ("dns", "proc")
 
 RowBuilder = Callable[[Column], dict[str, Column]]
 
@@ -77,11 +78,13 @@ def prepare(spark: SparkSession, raw: dict[str, str], folder: str, rows_per_part
     return done
 
 
-def _event(category: str, source: Column, destination: Column, detail: dict[str, Column]) -> list[Column]:
+def _event(category: str, source: Column, destination: Column, detail: dict[str, Column], strict: bool) -> list[Column]:
+    """Columns of an event; a timestamp that is no number gives a null ts, or ends the job if ``strict``."""
     stamp = F.col("timestamp")
+    number = stamp.try_cast("bigint")
     return [
         stamp.alias("timestamp"),
-        stamp.try_cast("bigint").alias("ts"),
+        (F.when(number.isNull(), F.raise_error(F.concat(F.lit("no time: "), F.coalesce(stamp, F.lit("null")))).cast("bigint")).otherwise(number) if strict else number).alias("ts"),
         source.alias("source_entity"),
         destination.alias("destination_entity"),
         F.lit(category).alias("event_category"),
@@ -90,39 +93,39 @@ def _event(category: str, source: Column, destination: Column, detail: dict[str,
     ]
 
 
-def clean_auth(quads: DataFrame) -> DataFrame:
+def clean_auth(quads: DataFrame, strict: bool = False) -> DataFrame:
     """Auth events, one for each quad; the detail has the action's parts (or raw), account, domain and machine."""
     node = F.col("src_node")
     detail = auth_fields(F.col("action_state")) | {"account": account_part(node), "account_domain": domain_part(node), "source_machine_raw": machine_part(node)}
-    return quads.select(*_event("AUTH", machine_part(node), normalize_node(F.col("dst_node")), detail))
+    return quads.select(*_event("AUTH", machine_part(node), normalize_node(F.col("dst_node")), detail, strict))
 
 
-def clean_flows(quads: DataFrame, filter_noise: bool = True) -> DataFrame:
+def clean_flows(quads: DataFrame, strict: bool = False, filter_noise: bool = True) -> DataFrame:
     """Flow events without broadcast chatter."""
     kept = quads.filter(~is_noise_flow(F.col("action_state"))) if filter_noise else quads
-    return kept.select(*_event("FLOW", normalize_node(F.col("src_node")), normalize_node(F.col("dst_node")), flow_fields(F.col("action_state"))))
+    return kept.select(*_event("FLOW", normalize_node(F.col("src_node")), normalize_node(F.col("dst_node")), flow_fields(F.col("action_state")), strict))
 
 
-def clean_dns(quads: DataFrame) -> DataFrame:
-    return quads.select(*_event("DNS", normalize_node(F.col("src_node")), normalize_node(F.col("dst_node")), {"query": F.lit("DNS_Query")}))
+def clean_dns(quads: DataFrame, strict: bool = False) -> DataFrame:
+    return quads.select(*_event("DNS", normalize_node(F.col("src_node")), normalize_node(F.col("dst_node")), {"query": F.lit("DNS_Query")}, strict))
 
 
-def clean_proc(quads: DataFrame, include_self_loops: bool = False) -> DataFrame:
+def clean_proc(quads: DataFrame, strict: bool = False, include_self_loops: bool = False) -> DataFrame:
     """Process events; those whose normalised ends are the same are dropped unless wanted."""
     a, b = normalize_node(F.col("src_node")), normalize_node(F.col("dst_node"))
     kept = quads if include_self_loops else quads.filter(a != b)
-    return kept.select(*_event("PROC", a, b, {"action": proc_action(F.col("action_state"))}))
+    return kept.select(*_event("PROC", a, b, {"action": proc_action(F.col("action_state"))}, strict))
 
 
-def clean_redteam(quads: DataFrame) -> DataFrame:
+def clean_redteam(quads: DataFrame, strict: bool = False) -> DataFrame:
     """Alert events; the source is the pivot host of the action, else the normalised source."""
     action = F.col("action_state")
     pivot = pivot_machine(action)
     detail = {"pivot_machine": pivot, "raw": F.when(pivot.isNull(), F.coalesce(action, F.lit("")))}
-    return quads.select(*_event("ALERT", normalize_node(F.coalesce(pivot, F.col("src_node"))), normalize_node(F.col("dst_node")), detail))
+    return quads.select(*_event("ALERT", normalize_node(F.coalesce(pivot, F.col("src_node"))), normalize_node(F.col("dst_node")), detail, strict))
 
 
-CLEANERS: dict[str, Callable[[DataFrame], DataFrame]] = {"auth": clean_auth, "flows": clean_flows, "dns": clean_dns, "proc": clean_proc, "redteam": clean_redteam}
+CLEANERS: dict[str, Callable[..., DataFrame]] = {"auth": clean_auth, "flows": clean_flows, "dns": clean_dns, "proc": clean_proc, "redteam": clean_redteam}
 
 
 def cleaning_counts(quads: DataFrame) -> DataFrame:
@@ -136,9 +139,9 @@ def cleaning_counts(quads: DataFrame) -> DataFrame:
     return counted.withColumn("total_out", out).withColumn("kept_pct", F.col("total_out") * 100.0 / F.col("total_in"))
 
 
-def clean_quads(quads: DataFrame, categories: tuple[str, ...] = ("auth", "flows", "redteam")) -> DataFrame:
+def clean_quads(quads: DataFrame, categories: tuple[str, ...] = ("auth", "flows", "redteam"), strict: bool = False) -> DataFrame:
     """Unified events of the quads whose source_file is one of ``categories``."""
-    parts = [CLEANERS[c](quads.filter(F.col("source_file") == c)) for c in categories]
+    parts = [CLEANERS[c](quads.filter(F.col("source_file") == c), strict) for c in categories]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -150,17 +153,25 @@ def write_events(events: DataFrame, path: str) -> None:
     events.write.mode("overwrite").partitionBy("event_category").parquet(path)
 
 
+def has_rows(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists, in whatever file system it names."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def read_events(spark: SparkSession, path: str, categories: tuple[str, ...] | None = None, max_files: int | None = None) -> DataFrame:
-    """Events with their storage position: file_no, the number in the file's name order, and row_no within it.
+    """Events with their storage position: category_no, file_no, file_name and row_no are a total order.
 
-    ``max_files`` keeps the first files of each category.
+    Categories stand in the order of CATEGORIES; a file's number is that of its name, and files that share one (parts
+    split by size) follow by name.  ``max_files`` keeps the first files of each category.
     """
     events = spark.read.parquet(path)
     if categories is not None:
         events = events.filter(F.col("event_category").isin(*categories))
     file = F.col("_metadata.file_path")
     number = F.regexp_extract(file, r"part-?0*(\d+)", 1).try_cast("bigint")
-    placed = events.withColumns({"file_no": number, "file_name": file, "row_no": F.col("_metadata.row_index")})
+    order = F.array_position(F.array(*[F.lit(c) for c in CATEGORIES]), F.col("event_category"))
+    placed = events.withColumns({"category_no": order, "file_no": number, "file_name": file, "row_no": F.col("_metadata.row_index")})
     if max_files is not None:
         ranked = placed.select("event_category", "file_no", "file_name").distinct().withColumn("__k", F.expr("row_number() over (partition by event_category order by file_no, file_name)"))
         placed = placed.join(F.broadcast(ranked.filter(F.col("__k") <= max_files).select("file_name")), "file_name", "left_semi")

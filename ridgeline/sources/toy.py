@@ -2,46 +2,52 @@
 
 from __future__ import annotations
 
-import json
-
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ridgeline.operators.windows import Thresholds
 
+# Fixed values of the demonstration: thresholds, pivot, seconds, hosts, statuses, protocols and ports.
 TOY_THRESHOLDS = Thresholds(m=90, e=40, v_src=15, v_dst=15)
 PIVOT = "C5"
-_EVENT = "event_id bigint, ts bigint, source_entity string, destination_entity string, event_category string, event_type string, event_detail string"
+SECONDS, ATTACK, ALERTS = 300, (140, 160), (150, 155)
+SOURCES = [f"C{k}" for k in range(1, 18) if k != 5]
+TARGETS = [f"C{k}" for k in range(101, 121)]
+FRESH = 301
+STATUSES, PROTOCOLS, PORTS = ("Success", "Success", "Failure"), ("NTLM", "Kerberos", "Negotiate"), ("445", "389", "88", "80", "443", "139")
 
 
 def toy_events(spark: SparkSession, seed: int = 0) -> DataFrame:
-    """300 quiet seconds of logons with flows beside about half of them; C5 reaches 20 fresh hosts from second 140 on.
+    """One logon a second with a flow beside about half of them; the pivot reaches a fresh host each second of ATTACK.
 
-    Five alerts name the pivot.  All categories come in one frame.
+    The alerts name the pivot.  All categories come in one frame; values are drawn by hashes of second and seed.
     """
-    rng = np.random.default_rng(seed)
-    sources = [f"C{k}" for k in range(1, 18) if f"C{k}" != PIVOT]
-    targets = [f"C{k}" for k in range(101, 121)]
-    rows: list[tuple] = []
-
-    def add(ts: int, source: str, target: str, category: str, kind: str, detail: dict) -> None:
-        rows.append((len(rows), ts, source, target, category, kind, json.dumps(detail)))
-
-    def logon(ts: int, source: str, target: str, status: str, protocol: str) -> None:
-        add(ts, source, target, "AUTH", f"LogOn_{status}_Network_{protocol}", {"action_category": "LogOn", "status": status, "subtype": "Network", "protocol": protocol})
-
-    def flow(ts: int, source: str, target: str, port: str) -> None:
-        add(ts, source, target, "FLOW", f"NetFlow_6_{port}>N1", {"protocol": "6", "src_port": port, "dst_port": "N1"})
-
-    for ts in range(1, 301):
-        source, target = str(rng.choice(sources)), str(rng.choice(targets))
-        logon(ts, source, target, str(rng.choice(["Success", "Success", "Failure"])), str(rng.choice(["NTLM", "Kerberos", "Negotiate"])))
-        if rng.random() < 0.5:
-            flow(ts, source, target, str(rng.choice(["445", "389", "88", "80", "443", "139"])))
-        if 140 <= ts < 160:
-            fresh = f"C{301 + ts - 140}"
-            logon(ts, PIVOT, fresh, "Success", "Kerberos")
-            flow(ts, PIVOT, fresh, "445")
-        if 150 <= ts < 155:
-            add(ts, PIVOT, f"C{301 + ts - 140}", "ALERT", f"RedTeam_via_{PIVOT}", {"pivot_machine": PIVOT})
-    return spark.createDataFrame(rows, _EVENT)
+    draw = lambda name, n: F.pmod(F.xxhash64("ts", F.lit(name), F.lit(seed)), F.lit(n))
+    pick = lambda name, values: F.element_at(F.array(*[F.lit(v) for v in values]), (draw(name, len(values)) + 1).cast("int"))
+    seconds = spark.range(1, SECONDS + 1).select(F.col("id").alias("ts"))
+
+    def logon(source: Column, target: Column, status: Column, protocol: Column) -> Column:
+        kind = F.concat(F.lit("LogOn_"), status, F.lit("_Network_"), protocol)
+        detail = F.to_json(F.struct(F.lit("LogOn").alias("action_category"), status.alias("status"), F.lit("Network").alias("subtype"), protocol.alias("protocol")))
+        return _row("AUTH", source, target, kind, detail)
+
+    def flow(source: Column, target: Column, port: Column) -> Column:
+        kind = F.concat(F.lit("NetFlow_6_"), port, F.lit(">N1"))
+        return _row("FLOW", source, target, kind, F.to_json(F.struct(F.lit("6").alias("protocol"), port.alias("src_port"), F.lit("N1").alias("dst_port"))))
+
+    def _row(category: str, source: Column, target: Column, kind: Column, detail: Column) -> Column:
+        return F.struct(source.alias("source_entity"), target.alias("destination_entity"), F.lit(category).alias("event_category"), kind.alias("event_type"), detail.alias("event_detail"))
+
+    within = lambda span: (F.col("ts") >= span[0]) & (F.col("ts") < span[1])
+    source, target, fresh = pick("source", SOURCES), pick("target", TARGETS), F.concat(F.lit("C"), F.col("ts") - ATTACK[0] + FRESH)
+    pivot = F.lit(PIVOT)
+    alert = _row("ALERT", pivot, fresh, F.lit(f"RedTeam_via_{PIVOT}"), F.lit(f'{{"pivot_machine":"{PIVOT}"}}'))
+    rows = F.array(
+        logon(source, target, pick("status", STATUSES), pick("protocol", PROTOCOLS)),
+        F.when(draw("flow", 2) == 0, flow(source, target, pick("port", PORTS))),
+        F.when(within(ATTACK), logon(pivot, fresh, F.lit("Success"), F.lit("Kerberos"))),
+        F.when(within(ATTACK), flow(pivot, fresh, F.lit("445"))),
+        F.when(within(ALERTS), alert),
+    )
+    events = seconds.select("ts", F.posexplode(rows).alias("place", "e")).filter(F.col("e").isNotNull())
+    return events.select((F.col("ts") * 8 + F.col("place")).alias("event_id"), "ts", "e.*")

@@ -23,14 +23,20 @@ def test_all_commands(spark, tmp_path, capsys):
     document = json.loads((tmp_path / "out/windows.json").read_text())
     assert document["n_windows"] >= 3 and document["scanned_events"] == 240 and any(w["attack_pivots"] == ["C5"] for w in document["windows"])
     run("stats")
+    assert "| Events |" in (tmp_path / "out/window_stats.md").read_text()
     run("benchmark", "--epochs", "3")
     result = json.loads((tmp_path / "out/benchmark.json").read_text())
-    assert result["summary"]["n"] == 1 and result["windows"][0]["n_seeds"] == 1
+    assert result["summary"]["n"] == 1 and result["failed"] == [] and result["windows"][0]["n_seeds"] == 1
     run("stability", "--epochs", "2", "--limit", "2")
     run("ablation", "--epochs", "2")
     assert spark.read.parquet(str(tmp_path / "out/ablation.parquet")).count() == 14
+    summary = spark.read.parquet(str(tmp_path / "out/stability_summary.parquet")).first()
+    assert summary.windows == 2 and summary.top50_jaccard_pairs == 1 and summary.failed == 0 and summary.leaders >= 1
     assert spark.read.parquet(str(tmp_path / "out/stability_top.parquet")).count() > 0
     run("windows", "--kind", "fixed", "--events-per-window", "100", "--out", str(tmp_path / "fixed"))
     assert json.loads((tmp_path / "fixed/windows.json").read_text())["n_windows"] == 2
+    run("ablation", "--epochs", "2", "--fixed-windows", str(tmp_path / "fixed"))
+    studies = {(r.study, r.config): r for r in spark.read.parquet(str(tmp_path / "out/ablation.parquet")).collect()}
+    assert len(studies) == 15 and studies["windowing", "fixed-event"].windows >= 1 and studies["windowing", "fixed-event"].failed == 0
     main(["toy", "--epochs", "2"], spark)
     assert "C5" in capsys.readouterr().out

@@ -74,6 +74,45 @@ def test_laplacian_positions_are_padded():
     assert np.allclose(big.std(0), 1) and np.allclose(big.mean(0), 0)
 
 
+def test_sparse_positions_span_the_dense_ones(monkeypatch):
+    rng = np.random.default_rng(3)
+    n, e = 900, 4000
+    src, dst = rng.integers(0, n, e), (rng.integers(0, n, e) * rng.random(e)).astype(int)
+    monkeypatch.setattr(rank, "DENSE_NODES", n)
+    dense = rank.laplacian_array(src, dst, n, 5)
+    monkeypatch.setattr(rank, "DENSE_NODES", 10)
+    sparse = rank.laplacian_array(src, dst, n, 5)
+    assert sparse.shape == dense.shape == (n, 5) and np.abs(sparse.std(0) - 1).max() < 1e-9
+    overlap = np.linalg.svd(np.linalg.qr(dense[:, :4])[0].T @ np.linalg.qr(sparse)[0])[1]
+    assert overlap.min() > 0.999
+    # two components share their largest eigenvalue
+    parts = rank.laplacian_array(np.array([*range(29), *range(30, 59)]), np.array([*range(1, 30), *range(31, 60)]), 60, 2)
+    assert np.isfinite(parts).all()
+
+
+def test_graph_pagerank_stops_at_the_tolerance(spark):
+    rng = np.random.default_rng(5)
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 12, (40, 2))})
+    nodes = sorted({x for p in pairs for x in p})
+    at = {x: k for k, x in enumerate(nodes)}
+    exact, _ = rank.pagerank_array(np.array([at[a] for a, _ in pairs]), np.array([at[b] for _, b in pairs]), len(nodes), tolerance=1e-7)
+    frames = spark.createDataFrame([(str(x),) for x in nodes], "node string"), spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "source_entity string, destination_entity string")
+    got = {r.node: r.pagerank for r in rank.graph_pagerank(*frames, tolerance=1e-7).collect()}
+    assert all(abs(got[str(x)] - exact[at[x]]) < 1e-9 for x in nodes) and abs(sum(got.values()) - 1) < 1e-9
+
+
+def test_hosts_without_a_score_rank_last_and_empty_windows_overlap_nothing(spark):
+    scored = spark.createDataFrame([(1, "a", 0.9), (1, "b", 0.9), (1, "c", 0.1), (2, "a", 0.5)], "window_idx bigint, node string, score double")
+    hosts = spark.createDataFrame([(1, "b"), (1, "gone"), (2, "a")], "window_idx bigint, node string")
+    assert {(r.window_idx, r.node): r["rank"] for r in rank.host_ranks_or_last(scored, hosts).collect()} == {(1, "b"): 2, (1, "gone"): 3, (2, "a"): 1}
+    top = spark.createDataFrame([(1, "a", 1), (3, "a", 1), (3, "b", 2)], "window_idx bigint, node string, rn int")
+    every = spark.createDataFrame([(1,), (2,), (3,)], "window_idx bigint")
+    assert {r.window_idx: r.jaccard for r in evaluate.adjacent_jaccard(top).collect()} == {3: 0.5}
+    overlaps = evaluate.adjacent_jaccard(top, windows=every)
+    assert {r.window_idx: r.jaccard for r in overlaps.collect()} == {2: 0.0, 3: 0.0}
+    assert tuple(evaluate.overlap_summary(overlaps).first()) == (0.0, 2)
+
+
 def graph_arrays(seed=0, n=9, e=24, f=6):
     rng = np.random.default_rng(seed)
     pairs = np.unique(rng.integers(0, n, (e, 2)), axis=0)
@@ -123,8 +162,7 @@ def test_registered_fits_have_the_budget_of_the_reference(monkeypatch, name):
     def train(nodes, edges, features, seeds=(42,), objectives=((0.5, 0.3),), fit=None):
         raise Trained(seeds, (fit or model.Fit()).epochs, objectives)
 
-    for inputs in ("_nodes", "_features"):
-        monkeypatch.setattr(reference_queries, inputs, lambda spark, folder: None)
+    monkeypatch.setattr(reference_queries, "_graph", lambda spark, folder, features=False: (None, None, None))
     monkeypatch.setattr(graph, "node_features", lambda nodes: nodes)
     monkeypatch.setattr(model, "train_scores", train)
     with pytest.raises(Trained) as got:
@@ -162,11 +200,12 @@ def test_toy_end_to_end(spark, tmp_path):
     assert found.count() >= 2 and [w.attack_pivots for w in attacked] == [[PIVOT]]
     graphs = pipeline.build_graphs(events, found.filter("has_attack"))
     assert graphs.labels.agg(F.sum("label")).first()[0] == 1
-    results, summary = pipeline.benchmark(events, found, config)
+    results, summary, failed = pipeline.benchmark(events, found, config)
+    assert failed.count() == 0
     row = results.first()
     assert results.count() == 1 and row.ap_mean > 0 and row.per_pivot[PIVOT] <= 3 and summary.first().n == 1
     before = row.train_s_mean
-    again, _ = pipeline.benchmark(events, found, config)
+    again, _, _ = pipeline.benchmark(events, found, config)
     assert [r.train_s_mean for r in again.collect()] == [before]
     assert pipeline.ablation(events, found, config).count() == 14
     assert pipeline.window_report(found)["coverage"] == {PIVOT: [1]}

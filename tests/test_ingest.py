@@ -1,10 +1,11 @@
+import pytest
 from pyspark.sql import functions as F
 
 from ridgeline.operators.windows import windows_document, windows_markdown
 from ridgeline.plans import pipeline
 from ridgeline.sources import ingest
 
-AUTH = ["1,ANONYMOUS LOGON@C586,x,C1250,C586,NTLM,Network,LogOn,Success", "2,C101$@DOM1,x,C988,C586,Kerberos,Network,LogOn,Success", "3,U66@DOM1,x,C586,C1619,NTLM,Network,LogOn,Failure", "", "  ", "4,short"]
+AUTH = ["1,SERVICE@C31,x,C77$@DOM2,C31,NTLM,Network,LogOn,Success", "2,C8$@DOM3,x,C9,C31,Kerberos,Network,LogOn,Success", "3,U4@DOM1,x,C31,C20@dom5,NTLM,Network,LogOn,Failure", "", "  ", "4,short"]
 FLOWS = ["5,0,C1,445,C2,N1,6,9,9", "6,0,C1,137,C2,137,17,9,9"]
 RED = ["7,U1@DOM1,C17693,C3$"]
 
@@ -15,9 +16,20 @@ def write(path, lines):
 
 
 def test_cleaning_literals(spark):
-    rows = [("1", "ANONYMOUS LOGON@C586|C1250", "C586", "LogOn_Success_Network_NTLM", "auth"), ("2", "C101$@DOM1|C988", "C586", "LogOn_Success_Network_Kerberos", "auth"), ("3", "U66@DOM1|C586", "C1619", "LogOn_Failure_Network_NTLM", "auth")]
+    rows = [("1", "SERVICE@C31|C77$@DOM2", "C31", "LogOn_Success_Network_NTLM", "auth"), ("2", "C8$@DOM3|C9", "C31", "LogOn_Success_Network_Kerberos", "auth"), ("3", "U4@DOM1|C31$", "C20@dom5", "LogOn_Failure_Network_NTLM", "auth")]
     events = ingest.clean_auth(spark.createDataFrame(rows, ingest.QUAD_SCHEMA)).orderBy("ts").collect()
-    assert [e.source_entity for e in events] == ["C1250", "C988", "C586"]
+    assert [(e.source_entity, e.destination_entity) for e in events] == [("C77", "C31"), ("C9", "C31"), ("C31", "C20")]
+
+
+def test_strict_times(spark):
+    quads = spark.createDataFrame([("x1", "a", "b", "DNS_Query", "dns")], ingest.QUAD_SCHEMA)
+    assert ingest.clean_dns(quads).first().ts is None
+    with pytest.raises(Exception, match="no time: x1"):
+        ingest.clean_quads(quads, ("dns",), strict=True).collect()
+    alerts = spark.createDataFrame([(1, 5, "ALERT", '{"pivot_machine": "C1"}'), (2, 6, "ALERT", "{}"), (3, 7, "ALERT", "{bro"), (4, 8, "AUTH", None)], "event_id bigint, ts bigint, event_category string, event_detail string")
+    assert [(r.alert_id, r.pivot) for r in pipeline.alerts_of(alerts).orderBy("alert_id").collect()] == [(1, "C1"), (2, "unknown"), (3, "unknown")]
+    with pytest.raises(Exception, match="MALFORMED|bro"):
+        pipeline.alerts_of(alerts, strict=True).collect()
 
 
 def test_self_loops_and_alerts(spark):
@@ -43,12 +55,20 @@ def test_preprocess(spark, tmp_path):
     report = pipeline.preprocess(spark, raw | {"auth": raw["auth"]}, str(tmp_path / "out"))
     assert report["prepared"] == {"auth": {"rows": 3}, "flows": {"rows": 2}, "redteam": {"rows": 1}}
     events = ingest.read_events(spark, str(tmp_path / "out/events"))
-    assert {(e.event_category, e.source_entity, e.destination_entity) for e in events.collect()} == {("AUTH", "C1250", "C586"), ("AUTH", "C988", "C586"), ("AUTH", "C586", "C1619"), ("FLOW", "C1", "C2"), ("ALERT", "C17693", "C3")}
+    assert {(e.event_category, e.source_entity, e.destination_entity) for e in events.collect()} == {("AUTH", "C77", "C31"), ("AUTH", "C9", "C31"), ("AUTH", "C31", "C20"), ("FLOW", "C1", "C2"), ("ALERT", "C17693", "C3")}
     vocabulary = ingest.load_json(str(tmp_path / "out/feature_names.json"))
     assert vocabulary["port_features"] == ["port_445"] and vocabulary["total_flow_events"] == 1
     assert ingest.read_events(spark, str(tmp_path / "out/events"), ("AUTH",), max_files=1).count() <= 3
     assert "error" in pipeline.preprocess(spark, {"auth": str(tmp_path / "none")}, str(tmp_path / "o2"))["prepared"]["auth"]
     assert ingest.load_json(str(tmp_path / "none"), 5) == 5
+    # optional logs join on demand, steps can be left out, and categories stand in their order
+    for name, action, node in (("dns", "DNS_Query", "C6"), ("proc", "Process_Start", "C7")):
+        ingest.write_quads(spark.createDataFrame([("9", node, "C8", action, name)], ingest.QUAD_SCHEMA), str(tmp_path / "out/quads"), name)
+    report = pipeline.preprocess(spark, {}, str(tmp_path / "out"), events=str(tmp_path / "all"), include=("dns", "proc"), skip=("prepare", "vocabulary"))
+    assert set(report) == {"cleaning"} and {r["source_file"]: r["total_out"] for r in report["cleaning"]} == {"auth": 3, "flows": 1, "dns": 1, "proc": 1, "redteam": 1}
+    stored = ingest.read_events(spark, str(tmp_path / "all")).orderBy("category_no", "file_no", "file_name", "row_no").collect()
+    assert [e.event_category for e in stored] == ["AUTH"] * 3 + ["FLOW", "DNS", "PROC", "ALERT"]
+    assert pipeline.preprocess(spark, {}, str(tmp_path / "out"), skip=("prepare", "clean", "vocabulary")) == {}
 
 
 def test_windows_document(spark):
