@@ -109,7 +109,28 @@ def _vocabulary(docs: DataFrame) -> tuple[dict[str, int], np.ndarray]:
     return terms, sizes
 
 
-_TERMS = "id bigint, lang string, terms array<int>, tf array<float>, ids array<int>, ends array<int>"
+#: A row of the termed table: documents, and two packed record batches, of terms and of words.
+_TERMS = "n int, weights binary, words binary"
+
+
+def _packed(arrays: list[pa.Array], names: list[str]) -> bytes:
+    batch = pa.RecordBatch.from_arrays(arrays, names=names)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as stream:
+        stream.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The documents of a batch of packed rows, or of a batch of documents, some hundred at once."""
+    packed = [c for c in ("weights", "words") if c in batch.schema.names]
+    if not packed:
+        for k in range(0, batch.num_rows, _DOCUMENTS):
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.slice(k, _DOCUMENTS).columns], schema=batch.schema)
+        return
+    for k in range(batch.num_rows):
+        parts = [pa.ipc.open_stream(batch.column(c)[k].as_buffer()).read_next_batch() for c in packed]
+        yield pa.RecordBatch.from_arrays([c for part in parts for c in part.columns], names=[n for part in parts for n in part.schema.names])
 
 
 def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -117,7 +138,10 @@ def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 
 def _termed(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
-    """Rows of each document's distinct terms with log frequencies, its words' rows in order, and its segments' ends."""
+    """Each document's id, lang, distinct terms with log frequencies, words' rows in order, and segments' ends.
+
+    Some hundred documents are one row, packed, for every pass reads them as they are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,28 +149,48 @@ def _termed(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
         for b in batches:
             for first, w in _documents(b):
                 row = np.array([-1 if t.isdigit() else known[t] if t in known else len(known) + crc32(t.encode()) % SHARED for t in w.terms], np.int64)
-                ids = row[w.codes] if len(w.codes) else np.zeros(0, np.int64)
-                kept = np.concatenate(([0], np.cumsum(ids >= 0)))
-                n, width = len(w.ends), len(known) + SHARED
-                ids, last, cuts = ids[ids >= 0], kept[w.ends], kept[w.cuts]
-                pairs, tf = _distinct(_owners(last) * width + ids)
-                until = np.searchsorted(pairs, np.arange(1, n + 1) * width)
-                cuts = cuts[np.diff(cuts, prepend=0) > 0]
-                owner = np.searchsorted(last, cuts - 1, side="right")
-                begin = np.concatenate(([0], last[:-1]))
-                take = pa.array(np.arange(first, first + n))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("id").take(take), b.column("lang").take(take),
-                        _lists(pairs % width, until, pa.int32()), _lists(np.log1p(tf), until, pa.float32()),
-                        _lists(ids, last, pa.int32()), _lists(cuts - begin[owner], np.searchsorted(owner, np.arange(n), side="right"), pa.int32()),
-                    ],
-                    names=["id", "lang", "terms", "tf", "ids", "ends"],
-                )
+                every = row[w.codes] if len(w.codes) else np.zeros(0, np.int64)
+                width, n = len(known) + SHARED, len(w.ends)
+                owner_of_cut = np.searchsorted(w.ends, w.cuts - 1, side="right")
+                rows = []
+                for lo in range(0, n, _DOCUMENTS):
+                    hi = min(n, lo + _DOCUMENTS)
+                    start, stop = (w.ends[lo - 1] if lo else 0), w.ends[hi - 1]
+                    ids = every[start:stop]
+                    kept = np.concatenate(([0], np.cumsum(ids >= 0)))
+                    own_cuts = w.cuts[(owner_of_cut >= lo) & (owner_of_cut < hi)] - start
+                    ids, last, cuts = ids[ids >= 0], kept[w.ends[lo:hi] - start], kept[own_cuts]
+                    pairs, tf = _distinct(_owners(last) * width + ids)
+                    until = np.searchsorted(pairs, np.arange(1, hi - lo + 1) * width)
+                    cuts = cuts[np.diff(cuts, prepend=0) > 0]
+                    owner = np.searchsorted(last, cuts - 1, side="right")
+                    begin = np.concatenate(([0], last[:-1]))
+                    weights = _packed([_lists(pairs % width, until, pa.int32()), _lists(np.log1p(tf), until, pa.float32())], ["terms", "tf"])
+                    words_ = _packed(
+                        [
+                            pa.concat_arrays([b.column("id").slice(first + lo, hi - lo)]), pa.concat_arrays([b.column("lang").slice(first + lo, hi - lo)]),
+                            _lists(ids, last, pa.int32()), _lists(cuts - begin[owner], np.searchsorted(owner, np.arange(hi - lo), side="right"), pa.int32()),
+                        ],
+                        ["id", "lang", "ids", "ends"],
+                    )
+                    rows.append((hi - lo, weights, words_))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], names=["n", "weights", "words"])
 
     return cut_lineage(docs.mapInArrow(run, _TERMS))
 
 
+def _labelled(table: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents (id, lang, terms, tf, labels) that ``labels`` (id, labels) names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in _unpacked(b):
+                yield part.select(["id", "lang", "terms", "tf"])
+
+    rows = table.select("weights", "words").mapInArrow(run, "id bigint, lang string, terms array<int>, tf array<float>")
+    return cut_lineage(rows.join(labels, "id"))
+
+
 def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Flat values of a list column, and the row of each."""
     return np.asarray(column.flatten()), np.repeat(np.arange(len(column)), np.diff(np.asarray(column.offsets)))
@@ -274,11 +318,6 @@ def _agreement_sums(batch: pa.RecordBatch, m: _Model, out: np.ndarray, subjects:
     _term_sums(pairs % len(m.idf), np.column_stack([np.ones(len(pairs)), agrees[pairs // len(m.idf)]]), out)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for k in range(0, batch.num_rows, _DOCUMENTS):
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.slice(k, _DOCUMENTS).columns], schema=batch.schema)
-
-
 def _summed(table: DataFrame, model: _Model, step, shape: tuple[int, int], columns: list[str], *args: object) -> np.ndarray:
     """Sum over all documents of what ``step`` adds to a matrix of ``shape``: by task, then by block of rows."""
     context = table.sparkSession.sparkContext
@@ -287,7 +326,7 @@ def _summed(table: DataFrame, model: _Model, step, shape: tuple[int, int], colum
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(shape, np.float64)
         for batch in batches:
-            for part in _slices(batch):
+            for part in _unpacked(batch):
                 step(part, shared.value, out, *args)
         blocks = [k for k in range(0, shape[0], _BLOCK) if out[k : k + _BLOCK].any()]
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([out[k : k + _BLOCK].astype(np.float32).tobytes() for k in blocks], pa.binary())], names=["block", "sums"])
@@ -336,7 +375,7 @@ def subject_model(table: DataFrame, labelled: DataFrame, terms: dict[str, int],
     for turn in range(ROUNDS):
         m.information = _informative(mass)
         for _ in range(ITERATIONS[min(turn, 1)]):
-            m.basis = np.linalg.qr(_summed(table, m, _basis_step, (v, rank), ["terms", "tf"]))[0].astype(np.float32)
+            m.basis = np.linalg.qr(_summed(table, m, _basis_step, (v, rank), ["weights"]))[0].astype(np.float32)
         seeds = _summed(labelled, m, _seed_sums, (max(len(slots), 1), rank), ["lang", "labels", "terms", "tf"], slots)[: len(slots)]
         owners = [s for _, s in sorted(slots)]
         for s in set(range(k)) - set(owners):
@@ -347,10 +386,10 @@ def subject_model(table: DataFrame, labelled: DataFrame, terms: dict[str, int],
         for step in range(REFINEMENTS):
             # the last refinement also counts the terms of the subjects' documents for the next round
             n, counted = len(owners), step == REFINEMENTS - 1 and turn < ROUNDS - 1
-            both = _summed(table, m, _refined_sums, (n + v * counted, max(rank, k)), ["terms", "tf"], n, k)
+            both = _summed(table, m, _refined_sums, (n + v * counted, max(rank, k)), ["weights"], n, k)
             sums, mass = both[:n, :rank], both[n:, :k] if counted else mass
             m.centroids = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 1, _units(sums), m.centroids).astype(np.float32)
-    n, agreed = _summed(table, m, _agreement_sums, (v, 2), ["terms", "tf", "ids", "ends"], k).T
+    n, agreed = _summed(table, m, _agreement_sums, (v, 2), ["weights", "words"], k).T
     m.void = (agreed + 5 * 2 * AGREEMENT) / (n + 5) < AGREEMENT
     return m
 
@@ -377,14 +416,13 @@ def document_subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, most
     if not counts.any():
         return empty
     table = _termed(texts, terms)
-    labelled = cut_lineage(table.select("id", "lang", "terms", "tf").join(own, "id"))
-    model = subject_model(table, labelled, terms, counts, table.count(), subjects, [r["description"] for r in known])
+    model = subject_model(table, _labelled(table, own), terms, counts, table.agg(F.sum("n")).first()[0] or 0, subjects, [r["description"] for r in known])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = np.array(subjects, object)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in (part for batch in batches for part in _slices(batch)):
+        for b in (part for batch in batches for part in _unpacked(batch)):
             ids, segment, subject, cosine, doc = _evidence(b, m, len(names))
             bad = np.zeros(len(subject), bool)
             bad[segment[m.void[ids]]] = True
@@ -400,4 +438,4 @@ def document_subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, most
             row, pick = row[keep], pick[keep]
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), pa.array(names[pick], pa.string()), pa.array(votes[row, pick].astype(np.int32))], names=["doc_id", "subject", "segments"])
 
-    return table.select("id", "terms", "tf", "ids", "ends").mapInArrow(assign, "doc_id bigint, subject string, segments int")
+    return table.select("weights", "words").mapInArrow(assign, "doc_id bigint, subject string, segments int")

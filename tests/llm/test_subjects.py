@@ -1,4 +1,5 @@
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -59,8 +60,10 @@ def test_every_word_has_a_row(spark, reviews):
     (docs, _, _), _, _ = reviews
     texts = docs.selectExpr("doc_id AS id", "lang", "title", "text")
     terms, counts = subjects._vocabulary(texts)
-    rows = subjects._termed(texts, terms).collect()
-    assert len(rows) == docs.count() and len(counts) == len(terms) + subjects.SHARED
+    packed = subjects._termed(texts.repartition(3), terms).collect()
+    batches = [x for r in packed for x in subjects._unpacked(pa.RecordBatch.from_pydict({"weights": [bytes(r.weights)], "words": [bytes(r.words)]}))]
+    rows = [SimpleNamespace(**r) for b in batches for r in b.to_pylist()]
+    assert len(rows) == sum(r.n for r in packed) == docs.count() and len(counts) == len(terms) + subjects.SHARED
     words = {}
     for d in docs.collect():
         for s in split(d.title, d.text):
