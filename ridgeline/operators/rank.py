@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.session import cut_lineage
+from ridgeline.session import cut_lineage, spread
 
 #: Nodes up to which eigenvectors are those of a dense matrix.
 DENSE_NODES = 512
@@ -96,7 +96,7 @@ def window_pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, t
         rank, _ = pagerank_array(pairs["u"].to_numpy(), pairs["v"].to_numpy(), len(own), damping, tolerance, steps)
         return own.assign(pagerank=rank[own["node_id"].to_numpy()])[["window_idx", "node", "pagerank"]]
 
-    ranks = ids.groupBy("window_idx").cogroup(coded.groupBy("__window")).applyInPandas(run, "window_idx bigint, node string, pagerank double")
+    ranks = spread(ids, "window_idx").groupBy("window_idx").cogroup(spread(coded, "__window").groupBy("__window")).applyInPandas(run, "window_idx bigint, node string, pagerank double")
     return ranks.withColumn("pr_target", pagerank_target(F.col("pagerank")))
 
 
@@ -149,7 +149,8 @@ def laplacian_positions(nodes: DataFrame, edges: DataFrame, dims: int = 8) -> Da
         pe = laplacian_array(np.array([at[x] for x in pairs["source_entity"]], int), np.array([at[x] for x in pairs["destination_entity"]], int), len(own), dims)
         return pd.DataFrame({"window_idx": own["window_idx"], "node": own["node"], "pe": list(pe)})
 
-    return nodes.select("window_idx", "node", "node_id").groupBy("window_idx").cogroup(coded.groupBy("__window")).applyInPandas(run, "window_idx bigint, node string, pe array<double>")
+    hosts = nodes.select("window_idx", "node", "node_id")
+    return spread(hosts, "window_idx").groupBy("window_idx").cogroup(spread(coded, "__window").groupBy("__window")).applyInPandas(run, "window_idx bigint, node string, pe array<double>")
 
 
 def laplacian_array(src: np.ndarray, dst: np.ndarray, n: int, dims: int = 8, tolerance: float = 1e-9, steps: int = 1200) -> np.ndarray:

@@ -575,6 +575,14 @@ def laplacian_positions(spark: SparkSession, folder: str) -> DataFrame:
     return rank.laplacian_positions(*_graph(spark, folder)[:2])
 
 
+@_register(f"WITH {_EDGES} SELECT window_idx, count(*) AS nodes, least(8, greatest(count(*) - 3, 0)) AS filled FROM nd GROUP BY window_idx")
+def laplacian_scale(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of each window, and its position columns that have mean 0 and deviation 1 (the others are filled up)."""
+    found = rank.laplacian_positions(*_graph(spark, folder)[:2])
+    each = [((F.abs(F.avg(F.col("pe")[k])) < 1e-6) & (F.abs(F.stddev_pop(F.col("pe")[k]) - 1) < 1e-6)).cast("bigint") for k in range(8)]
+    return found.groupBy("window_idx").agg(F.count(F.lit(1)).alias("nodes"), sum(each[1:], each[0]).alias("filled"))
+
+
 @_register(f"""WITH {_RARITY}, al AS (SELECT *, row_number() OVER (PARTITION BY window_idx ORDER BY out_deg / (in_deg + 1.0), node) / count(*) OVER (PARTITION BY window_idx) AS score_alpha FROM dg),
 b AS (SELECT n.window_idx, n.node, coalesce(max(rarity), 0) AS rarity FROM nd n LEFT JOIN ra ON n.window_idx = ra.window_idx AND n.node = ra.src GROUP BY ALL),
 be AS (SELECT window_idx, node, row_number() OVER (PARTITION BY window_idx ORDER BY round(rarity, 9), node) / count(*) OVER (PARTITION BY window_idx) AS score_beta FROM b)
@@ -667,21 +675,22 @@ def unfinished_windows(spark: SparkSession, folder: str) -> DataFrame:
     return evaluate.unfinished(_info(spark, folder), table(spark, folder, "run_nonattack").select("window_idx")).select("idx", "ts_start", "ts_end")
 
 
-def _trained(spark: SparkSession, folder: str) -> DataFrame:
-    """Fits of the reference's budget: 100 epochs for each of three seeds."""
+def _trained(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Fits of the reference's budget, 100 epochs for each of three seeds, and the nodes they score."""
     nodes, _, features = _graph(spark, folder, True)
-    return model.train_scores(graph.node_features(nodes), features, _NAMES, seeds=(42, 123, 456))
+    return model.train_scores(graph.node_features(nodes), features, _NAMES, seeds=(42, 123, 456)), nodes
 
 
 @_register()
 def trained_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return _trained(spark, folder).drop("embedding", "train_s")
+    return _trained(spark, folder)[0].drop("embedding", "train_s")
 
 
 @_register()
 def benchmark_summary(spark: SparkSession, folder: str) -> DataFrame:
-    scores = _trained(spark, folder).withColumn("score", rank.fused(0.6, 0.0, 0.4))
-    labelled = scores.join(graph.labels(_nodes(spark, folder), _info(spark, folder)), ["window_idx", "node"])
+    fitted, nodes = _trained(spark, folder)
+    scores = fitted.select("window_idx", "seed", "node", rank.fused(0.6, 0.0, 0.4).alias("score"))
+    labelled = scores.join(graph.labels(nodes, _info(spark, folder)), ["window_idx", "node"])
     return evaluate.seed_summary(evaluate.average_precision(labelled, ("window_idx", "seed")))
 
 

@@ -40,3 +40,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ridgeline-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` laid out by ``keys`` over four tasks a core, for groups that are small in bytes and long in computing.
+
+    A stated number of partitions is not coalesced by size, so such groups don't end in one task.
+    """
+    return df.repartition(min(10_000, 4 * df.sparkSession.sparkContext.defaultParallelism), *keys)
