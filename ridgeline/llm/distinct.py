@@ -31,7 +31,7 @@ DAY = 86_400
 #: Days touched by all windows, added up, to which cells are broadcast (about 100 small rows a day); beyond, joins shuffle.
 BROADCAST_DAYS = 50_000
 #: Rows that a task sketches at once, and filled registers that it merges at once.
-ROWS, ENTRIES = 1 << 18, 1 << 21
+ROWS, ENTRIES = 1 << 19, 1 << 21
 
 
 def error_bound(precision: int = PRECISION) -> float:
@@ -186,22 +186,21 @@ def _schema(df: DataFrame, keys: Sequence[str]) -> str:
     return ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), "measure string, sketch binary"])
 
 
-def sketch(df: DataFrame, keys: Sequence[str], measures: Sequence[str], precision: int = PRECISION, by: Sequence[str] | None = None) -> DataFrame:
+def sketch(df: DataFrame, keys: Sequence[str], measures: Sequence[str], precision: int = PRECISION) -> DataFrame:
     """One sketch (keys, measure, sketch) for each key and measure; the columns ``measures`` hold 64-bit hashes.
 
-    A null hash is no item, a null key is a key.  A key without items has no row.  ``by`` names the keys that decide
-    where sketches are merged, by default all of them.
+    A null hash is no item, a null key is a key.  A key without items has no row.
     """
     partial = df.select(*keys, *measures).mapInArrow(_sketched(keys, measures, precision), _schema(df, keys))
-    return merge(partial, keys, precision, by, combine=False)
+    return merge(partial, keys, precision, combine=False)
 
 
-def merge(sketches: DataFrame, keys: Sequence[str], precision: int = PRECISION, by: Sequence[str] | None = None, combine: bool = True) -> DataFrame:
+def merge(sketches: DataFrame, keys: Sequence[str], precision: int = PRECISION, combine: bool = True) -> DataFrame:
     """Sketches of larger spans from any smaller or partial ones, by ``keys``; near ones are merged before they move."""
     schema, rows = _schema(sketches, keys), sketches.select(*keys, "measure", "sketch")
     if combine:
         rows = rows.mapInArrow(_joined(keys, precision, False), schema)
-    return merge_placed(rows.repartition(*(by or [*keys, "measure"])), keys, precision)
+    return merge_placed(rows.repartition(*keys, "measure"), keys, precision)
 
 
 def merge_placed(sketches: DataFrame, keys: Sequence[str], precision: int = PRECISION) -> DataFrame:
@@ -290,7 +289,8 @@ def window_sketches(events: DataFrame, windows: DataFrame, precision: int = PREC
     spread = cells.withColumn("bucket", F.explode(F.sequence(F.expr(f"cell_start div {bucket}"), F.expr(f"(cell_end - 1) div {bucket}"))))
     placed = events.filter(F.col("ts").isNotNull() & F.col("category").isNotNull()).withColumn("bucket", F.expr(f"ts div {bucket}")).join(small_side(spread), "bucket").filter((F.col("ts") >= F.col("cell_start")) & (F.col("ts") < F.col("cell_end")))
     keys = ["day", "cell_start", "category"]
-    of_cell = cut_lineage(sketch(placed, keys, ["e", "v_src", "v_dst"], precision, by=["day"]))
+    # merged by the whole key first, so that a day with very many rows burdens no task; then days lie together
+    of_cell = cut_lineage(sketch(placed, keys, ["e", "v_src", "v_dst"], precision).repartition("day"))
     of_day = merge_placed(of_cell, ["day", "category"], precision)
     by_day = ranged.select(
         "window", "ts_start", "ts_end",

@@ -179,7 +179,7 @@ def _termed(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
     return cut_lineage(docs.mapInArrow(run, _TERMS))
 
 
-def _labelled(table: DataFrame, labels: DataFrame) -> DataFrame:
+def _labelled(table: DataFrame, labels: DataFrame, id_type: str) -> DataFrame:
     """The documents (id, lang, terms, tf, labels) that ``labels`` (id, labels) names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +187,7 @@ def _labelled(table: DataFrame, labels: DataFrame) -> DataFrame:
             for part in _unpacked(b):
                 yield part.select(["id", "lang", "terms", "tf"])
 
-    rows = table.select("weights", "words").mapInArrow(run, "id bigint, lang string, terms array<int>, tf array<float>")
+    rows = table.select("weights", "words").mapInArrow(run, f"id {id_type}, lang string, terms array<int>, tf array<float>")
     return cut_lineage(rows.join(labels, "id"))
 
 
@@ -404,7 +404,8 @@ def document_subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, most
     """
     known = areas.select(F.lower(F.trim("subject")).alias("subject"), F.coalesce("description", F.lit("")).alias("description")).dropna().orderBy("subject").collect()
     subjects = [r["subject"] for r in known]
-    empty = docs.sparkSession.createDataFrame([], "doc_id bigint, subject string, segments int")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    empty = docs.sparkSession.createDataFrame([], f"doc_id {id_type}, subject string, segments int")
     if not subjects:
         return empty
     codes = F.create_map(*[x for k, s in enumerate(subjects) for x in (F.lit(s), F.lit(k))])
@@ -416,7 +417,7 @@ def document_subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, most
     if not counts.any():
         return empty
     table = _termed(texts, terms)
-    model = subject_model(table, _labelled(table, own), terms, counts, table.agg(F.sum("n")).first()[0] or 0, subjects, [r["description"] for r in known])
+    model = subject_model(table, _labelled(table, own, id_type), terms, counts, table.agg(F.sum("n")).first()[0] or 0, subjects, [r["description"] for r in known])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = np.array(subjects, object)
 
@@ -438,4 +439,4 @@ def document_subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, most
             row, pick = row[keep], pick[keep]
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), pa.array(names[pick], pa.string()), pa.array(votes[row, pick].astype(np.int32))], names=["doc_id", "subject", "segments"])
 
-    return table.select("weights", "words").mapInArrow(assign, "doc_id bigint, subject string, segments int")
+    return table.select("weights", "words").mapInArrow(assign, f"doc_id {id_type}, subject string, segments int")
