@@ -35,7 +35,7 @@ from ridgeline.session import cut_lineage
 VOCABULARY, LEAST_DOCUMENTS, SHARED, RANK = 1 << 16, 3, 1 << 8, 80
 ROUNDS, REFINEMENTS = 3, 2
 #: Passes of the subspace iteration in the first and in each later round, which starts from the basis before.
-ITERATIONS = (2, 1)
+ITERATIONS = (3, 2)
 #: A segment counts if its cosine and its most informative term reach these; a term is void below the third.
 COSINE, INFORMATION, AGREEMENT = 0.25, 0.2, 0.35
 #: A document's own similarity to a subject counts this much when its segments choose theirs; subjects after a
