@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ridgeline.session import cut_lineage
+
 #: Sketch counters for each wanted heavy key; the relative count error is 3.5 / counters.
 COUNTERS_PER_KEY = 64
 #: Most counters of a sketch; a share that needs more is an error, for keys could be missed.
@@ -104,9 +106,9 @@ def skew_join(
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     small = F.broadcast(heavy.select(key))
-    hot_right = right.join(small, key, "left_semi")
+    hot_right = cut_lineage(right.join(small, key, "left_semi"))  # counted and joined
     hot_left = left.join(small, key, "left_semi")
-    if hot_right.select(key).limit(most_rows + 1).count() <= most_rows:
+    if hot_right.count() <= most_rows:
         hot = hot_left.join(F.broadcast(hot_right), key, how)
     else:
         spread = hot_left.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
