@@ -82,3 +82,14 @@ def test_plans_prune_and_push_down(spark, tmp_path):
     ingest.write_events(spark.range(100).selectExpr("cast(id as string) as timestamp", "id as ts", "'a' as source_entity", "'b' as destination_entity", "'AUTH' as event_category", "'t' as event_type", "'{}' as event_detail"), str(tmp_path / "e"))
     plan = spark.read.parquet(str(tmp_path / "e")).filter("event_category = 'AUTH' and ts >= 50").select("source_entity")._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(ts,50)" in plan and "PartitionFilters: [isnotnull(event_category" in plan and "event_detail" not in plan.split("ReadSchema:")[-1].split("\n")[0]
+
+
+def test_a_cluster_needs_a_checkpoint_folder():
+    from types import SimpleNamespace
+
+    from ridgeline.session import cut_lineage
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        cut_lineage(SimpleNamespace(sparkSession=session))
