@@ -1,4 +1,8 @@
 import json
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -138,6 +142,41 @@ def test_gradients_by_finite_differences():
             assert abs((up - down) / 2e-6 - own[k]) < 1e-5 * max(1, abs(own[k])), name
 
 
+@pytest.mark.parametrize("index", [[], [2, 2, 2, 0, 2], [3, 1, 0], [0] * 40 + [4, 1, 4]])
+def test_sums_by_node(index):
+    index = np.array(index, int)
+    rows = np.random.default_rng(0).random((len(index), 3))
+    exact = np.zeros((5, 3))
+    np.add.at(exact, index, rows)
+    assert np.allclose(model._Sums(index, 5)(rows), exact) and np.allclose(model._Sums(index, 5)(rows[:, 0]), exact[:, 0])
+
+
+def test_a_graph_without_edges_is_fitted():
+    none = np.zeros(0, int)
+    found = model.score_graph(np.ones((3, 8)), np.zeros((0, 7)), none, none, model.Fit(epochs=2))
+    assert found["embedding"].shape == (3, 64) and np.isfinite(found["embedding"]).all()
+
+
+def test_epochs_reuse_their_memory():
+    # several hundred page faults an epoch took much of a fit's time; a new process, for memory freed before counts too
+    script = """
+import resource
+import numpy as np
+from ridgeline.operators import model
+rng = np.random.default_rng(0)
+pairs = np.unique(rng.integers(0, 540, (430, 2)), axis=0)
+ef = np.hstack([rng.random((len(pairs), 36)) < 0.2, rng.random((len(pairs), 1))]).astype(float)
+graph = model.GraphModel(rng.standard_normal((540, 8)), ef, pairs[:, 0], pairs[:, 1])
+faults = []
+for epochs in (5, 20):
+    graph.train(model.Fit(epochs=epochs), np.ones(36, np.float32), rng.standard_normal((540, 3)))
+    faults.append(resource.getrusage(resource.RUSAGE_SELF).ru_minflt)
+print((faults[1] - faults[0]) / 20)
+"""
+    env = os.environ | {"PYTHONPATH": str(Path(__file__).resolve().parents[1]), "OMP_NUM_THREADS": "1"}
+    assert float(subprocess.run([sys.executable, "-c", script], env=env, capture_output=True, text=True, check=True).stdout) < 50
+
+
 def test_training_lowers_the_loss_and_repeats():
     x, ef, src, dst, _ = graph_arrays(1, 30, 120, 36)
     a, b = (model.score_graph(x, ef, src, dst, model.Fit(epochs=40)) for _ in range(2))
