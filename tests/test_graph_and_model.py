@@ -151,6 +151,44 @@ def test_sums_by_node(index):
     assert np.allclose(model._Sums(index, 5)(rows), exact) and np.allclose(model._Sums(index, 5)(rows[:, 0]), exact[:, 0])
 
 
+def test_features_that_no_edge_has_take_no_part():
+    x, ef, src, dst, rng = graph_arrays(2, 30, 90)
+    wide = np.insert(ef, 3, np.zeros((4, 1)), axis=1)  # four features more that no edge has
+    m = model.GraphModel(x, wide, src, dst, dtype=np.float64)
+    assert m.parameters - m.flat.size == 4 * sum(model.HEADS * w for w in model.WIDTHS)
+    narrow = model.GraphModel(x, ef, src, dst, dtype=np.float64)
+    kept = [k for k in range(10) if not 3 <= k < 7]
+    for name, own in narrow.p.items():
+        own[:] = m.p[name][..., kept] if name in ("e3", "e4") else m.p[name]
+    weight, targets = rng.random(10), rng.standard_normal((len(x), 3))
+    weight[3:7] = 0
+    (value, grads), (same, others) = m.loss(weight, targets, 0.5, 0.3, train=False), narrow.loss(weight[kept], targets, 0.5, 0.3, train=False)
+    assert abs(value - same) < 1e-12 and not grads["e3"][:, 3:7].any() and not grads["e4"][3:7].any()
+    for name, own in others.items():
+        assert np.allclose(grads[name][..., kept] if name in ("e3", "e4") else grads[name], own, atol=1e-12), name
+
+
+@pytest.mark.parametrize("rate", [0.2, 0.3])
+def test_dropout_keeps_its_share(rate):
+    m = model.GraphModel(*graph_arrays()[:4])
+    kept, up = m._keep(rate, (1001, 301), True)
+    assert set(np.unique(kept)) == {0, up} and abs(up - 1 / (1 - rate)) < 1e-6
+    assert abs((kept > 0).mean() - (1 - rate)) < 0.005 and abs((kept > 0).mean(0) - (1 - rate)).max() < 0.07
+
+
+def test_adam_steps_as_defined():
+    x, ef, src, dst, _ = graph_arrays()
+    targets, fit = np.ones((len(x), 3)), model.Fit(epochs=5)
+    m, own = (model.GraphModel(x, ef, src, dst, dtype=np.float64) for _ in range(2))
+    m.train(fit, np.ones(6), targets)
+    first = second = 0
+    for step in range(1, 6):
+        g = own.loss(np.ones(6), targets, fit.lambda_deg, fit.lambda_pr)[1]["a0"].base + fit.weight_decay * own.flat
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g**2
+        own.flat -= fit.lr * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    assert np.allclose(m.flat, own.flat, atol=1e-12)
+
+
 def test_a_graph_without_edges_is_fitted():
     none = np.zeros(0, int)
     found = model.score_graph(np.ones((3, 8)), np.zeros((0, 7)), none, none, model.Fit(epochs=2))
