@@ -131,7 +131,8 @@ def benchmark(events: DataFrame, found: DataFrame, config: Config, vocabulary: D
     """Precision of every attack window over the seeds, the summary, and this run's failed fits.
 
     Results are kept below the output folder, one row for each window; windows with stored results are not fitted
-    again, those of which every fit failed are.
+    again.  A window of which any fit failed has no result, as a mean over fewer seeds would look like one: it is fitted
+    again by the next run.
     """
     spark, store = events.sparkSession, f"{config.output}/benchmark.parquet"
     attacked = found.filter("has_attack")
@@ -143,7 +144,8 @@ def benchmark(events: DataFrame, found: DataFrame, config: Config, vocabulary: D
     failed = spark.createDataFrame([], "window_idx bigint, seed int, lambda_deg double, lambda_pr double, error string")
     if not todo.isEmpty():
         every = score(build_graphs(events, todo, vocabulary, config.slices), config)
-        failed, scored = failures(every), every.filter(F.col("error").isNull())
+        failed = failures(every)
+        scored = every.join(F.broadcast(failed.select("window_idx").distinct()), "window_idx", "left_anti")
         aps = evaluate.average_precision(scored, ("window_idx", "seed"))
         ranks = scored.withColumn("rank", F.rank().over(rank.Window.partitionBy("window_idx", "seed").orderBy(F.desc("score")))).filter(F.col("label") == 1)
         best = ranks.groupBy("window_idx", "node").agg(F.min("rank").alias("best")).groupBy("window_idx").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("node", "best")))).alias("per_pivot"))

@@ -231,6 +231,47 @@ def test_failed_fits_give_an_error_row(spark):
     assert row.window_idx == 0 and row.seed == 42 and row.error and row.node is None
 
 
+def broken_window(spark):
+    """Two windows of nodes and edges; in the second an edge's end is no node."""
+    names = graph.feature_names()
+    nodes = spark.createDataFrame([(w, n, k, *[float(k)] * 8) for w in (0, 1) for k, n in enumerate("ab")], "window_idx bigint, node string, node_id int, " + ", ".join(f"x{k} double" for k in range(8)))
+    edges = spark.createDataFrame([(0, "a", "b", *[1.0] * len(names), 0.7), (1, "a", "missing", *[1.0] * len(names), 0.7)], "window_idx bigint, source_entity string, destination_entity string, " + ", ".join(f"{n} double" for n in [*names, "log_count"]))
+    return nodes, edges
+
+
+@pytest.mark.parametrize("name", ["trained_scores", "benchmark_summary"])
+def test_a_failed_fit_ends_the_registered_queries(spark, monkeypatch, name):
+    # its error row fell out of the join with the labels, so that the window or a seed of it was missing from the summary
+    nodes, edges = broken_window(spark)
+    monkeypatch.setattr(reference_queries, "_graph", lambda spark, folder, features=False: (nodes, None, edges))
+    monkeypatch.setattr(reference_queries, "_info", lambda spark, folder: spark.createDataFrame([(0, ["a"]), (1, ["a"])], "idx bigint, attack_pivots array<string>"))
+    monkeypatch.setattr(graph, "node_features", lambda nodes: nodes)
+    with pytest.raises(Exception, match="fit failed: window_idx 1, seed"):
+        reference_queries.QUERIES[name](spark, "").collect()
+
+
+def test_a_diverged_fit_is_an_error():
+    x, ef, src, dst, _ = graph_arrays()
+    x[0, 0] = np.nan  # all residuals are NaN, their ranks looked like scores
+    with pytest.raises(ArithmeticError):
+        model.score_graph(x, ef, src, dst, model.Fit(epochs=2))
+
+
+def test_a_window_with_a_failed_fit_has_no_benchmark_result(spark, tmp_path, monkeypatch):
+    scored = spark.createDataFrame(
+        [(w, s, 0.5, 0.3, n, 0.1, v, 1, None) for w, s in ((0, 1), (0, 2), (1, 1)) for n, v in (("a", 0.9), ("b", 0.1))] + [(1, 2, 0.5, 0.3, None, None, None, None, "error")],
+        "window_idx bigint, seed int, lambda_deg double, lambda_pr double, node string, train_s double, score double, label int, error string",
+    )
+    monkeypatch.setattr(pipeline, "build_graphs", lambda *_: None)
+    monkeypatch.setattr(pipeline, "score", lambda *_: scored)
+    found = spark.createDataFrame([(0, True), (1, True)], "idx bigint, has_attack boolean")
+    for _ in range(2):  # by the second run too
+        results, summary, failed = pipeline.benchmark(spark.range(1), found, pipeline.Config(TOY_THRESHOLDS, output=str(tmp_path)))
+        assert [(r.window_idx, r.n_seeds) for r in results.collect()] == [(0, 2)] and summary.first().n == 1
+        assert [(r.window_idx, r.seed, r.error) for r in failed.collect()] == [(1, 2, "error")]
+        scored = scored.filter("window_idx = 1")
+
+
 @pytest.mark.parametrize("name", ["trained_scores", "benchmark_summary"])
 def test_registered_fits_have_the_budget_of_the_reference(monkeypatch, name):
     class Trained(Exception):
